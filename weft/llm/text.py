@@ -16,7 +16,7 @@ WORD_BYTES = bytes(
 
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 bytes; null has none."""
-    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split(b" ") if text else []
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 def text_or_empty(name: str) -> Column:
