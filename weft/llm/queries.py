@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from weft.llm.decontaminate import decontaminate
 from weft.llm.exact_dedup import exact_dedup
+from weft.llm.language_id import fit_languages, predict_languages
 from weft.llm.license_scan import license_scan
+from weft.llm.quality import fit_quality, score_quality
+from weft.llm.sampling import fold
+from weft.llm.simhash import near_duplicates
 from weft.llm.url_filter import url_filter
 from weft.session import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -26,6 +34,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(fold("doc_id") != 2), "doc_id", "text", "lang")
+    return predict_languages(docs, model, "text", ["doc_id"]).select("doc_id", (fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id") != 2))
+    scored = score_quality(docs, model, "text", ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -34,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_exact_dedup, op5_license_scan, op7_url_filter, op10_decontaminate)
+    for f in (op1_simhash, op3_exact_dedup, op5_license_scan, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
 }
 
 ORACLES: dict[str, str] = {}
