@@ -15,6 +15,7 @@ from weft.llm.quality import fit_quality, score_quality
 from weft.llm.sampling import fold
 from weft.llm.simhash import near_duplicates
 from weft.llm.url_filter import url_filter
+from weft.llm.warc import archive_pages, read_archives
 from weft.session import table
 
 
@@ -22,6 +23,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = read_archives(archive_pages(pages))
+    return records.select(
+        F.col("key").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to")
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op3_exact_dedup, op5_license_scan, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
+    for f in (op1_simhash, op2_warc, op3_exact_dedup, op5_license_scan, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
 }
 
 ORACLES: dict[str, str] = {}
@@ -82,3 +92,17 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+_HEX = "sha1(coalesce(html, ''))"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
+
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, {_HEX} AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
