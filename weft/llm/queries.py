@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.decontaminate import decontaminate
 from weft.llm.exact_dedup import exact_dedup
+from weft.llm.html_extract import extract_main_text
 from weft.llm.language_id import fit_languages, predict_languages
 from weft.llm.license_scan import license_scan
 from weft.llm.quality import fit_quality, score_quality
@@ -40,6 +41,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -65,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_exact_dedup, op5_license_scan, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
+    for f in (op1_simhash, op2_warc, op3_exact_dedup, op5_license_scan, op6_html_text, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
 }
 
 ORACLES: dict[str, str] = {}
