@@ -80,11 +80,12 @@ class LanguageFilters:
     def __init__(self, languages: list[str], table: np.ndarray, rates: np.ndarray, probes: int):
         self.languages, self.table, self.rates, self.probes = languages, table, rates, probes
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and the winner's corrected share of n-grams, of each text."""
         hashes, owner = gram_hashes(texts)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         masks = np.uint64(0xFFFFFFFFFFFFFFFF)
         for at in _slots(hashes, len(self.table), self.probes):
             masks = masks & self.table[at]
@@ -97,7 +98,7 @@ class LanguageFilters:
         sharp = (share / np.maximum(share.max(axis=1, keepdims=True), 1e-12)) ** SHARPNESS
         score = np.where(share.sum(axis=1) > 0, 1 / np.maximum(sharp.sum(axis=1), 1), 0.0)
         names = [self.languages[b] if n else "und" for b, n in zip(best, total)]
-        return names, np.where(total > 0, score, 0.0)
+        return names, np.where(total > 0, score, 0.0), share.max(axis=1)
 
 
 def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = 1500, max_grams: int = 30_000, slots: int = 1 << 19, probes: int = 2) -> LanguageFilters:
@@ -131,22 +132,31 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ma
 
 
 def predict_languages(docs: DataFrame, model: LanguageFilters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of ``docs`` with lang_pred and score."""
+    """The columns ``keep`` (default: all) of ``docs`` with lang_pred, score and share (of the text's n-grams, corrected)."""
     kept = docs.columns if keep is None else keep
     fields = [docs.schema[c] for c in kept]
-    schema = T.StructType([*(T.StructField(f"_{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*(T.StructField(f"_{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_share", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots words
 
     def run(batches):
         for batch in batches:
-            names, scores = [], []
+            names, scores, shares = [], [np.zeros(0)], [np.zeros(0)]
             for chunk in _chunks(batch.column(0).to_pylist()):
-                got, score = shared.value.predict(chunk)
+                got, score, share = shared.value.predict(chunk)
                 names += got
                 scores.append(score)
-            own = [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+                shares.append(share)
+            own = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(shares))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], schema.names)
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)])
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_share").alias("share"))
+
+
+def keep_known_languages(docs: DataFrame, model: LanguageFilters, text_col: str = "text", least_share: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` with letters and at least ``least_share`` n-grams of some language, with their columns."""
+    fields = [f"_c{i}" for i in range(len(docs.columns))]
+    found = predict_languages(docs.toDF(*fields), model, fields[docs.columns.index(text_col)])
+    known = (F.col("lang_pred") != "und") & (F.col("share") >= least_share)
+    return found.where(known).select(*[F.col(f).alias(c) for f, c in zip(fields, docs.columns)])

@@ -12,6 +12,7 @@ from weft.llm.exact_dedup import exact_dedup
 from weft.llm.html_extract import extract_main_text
 from weft.llm.language_id import fit_languages, predict_languages
 from weft.llm.license_scan import license_scan
+from weft.llm.packing import pack
 from weft.llm.quality import fit_quality, score_quality
 from weft.llm.sampling import fold
 from weft.llm.simhash import near_duplicates
@@ -37,6 +38,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_exact_dedup, op5_license_scan, op6_html_text, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
+    for f in (op1_simhash, op2_warc, op3_exact_dedup, op4_packing, op5_license_scan, op6_html_text, op7_url_filter, op8_language_id, op9_quality, op10_decontaminate)
 }
 
 ORACLES: dict[str, str] = {}

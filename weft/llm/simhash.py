@@ -154,9 +154,21 @@ def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tupl
     return min(plans, key=lambda p: p[0])[1]
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (point, smallest point of its group) among points that share a key; keys are sorted."""
-    points, node = np.unique(fps, return_inverse=True)
+def _pieces(block: np.ndarray, size: int):
+    """The rows of a sorted block in pieces of about ``size``, never cutting between rows of one key."""
+    at = 0
+    while len(block) - at > size:
+        same = np.flatnonzero((block[at + size :, 2:] != block[at + size - 1, 2:]).any(axis=1))
+        to = at + size + (int(same[0]) if len(same) else len(block) - at - size)
+        yield block[at:to]
+        at = to
+    if at < len(block):
+        yield block[at:]
+
+
+def _forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id of its group) among rows that share a key; keys are sorted."""
+    points, node = np.unique(ids, return_inverse=True)
     root = np.arange(len(points))
     change = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
     run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
@@ -175,8 +187,44 @@ def _forest(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     return points[low], points[root[low]]
 
 
-def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]], block_rows: int = 2048) -> DataFrame:
-    """(a, b): a forest of all pairs of points that differ in at most ``distance`` bits."""
+def _spanning(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids within ``distance`` bits that share a key: a spanning forest of least total distance."""
+    points, node = np.unique(ids, return_inverse=True)
+    root = np.arange(len(points))
+    change = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
+    run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
+    at, step, found = np.arange(len(keys)), 1, [np.zeros((3, 0), np.int64)]
+    while len(at := at[at + step < run_end[at]]):
+        bits = np.bitwise_count(fps[at] ^ fps[at + step])
+        near = bits <= distance
+        found.append(np.stack([bits[near].astype(np.int64), node[at[near]], node[at[near] + step]]))
+        step += 1
+    pairs = np.concatenate(found, axis=1)
+    out: list[np.ndarray] = []
+    for level in range(distance + 1):
+        a, b = pairs[1:, pairs[0] == level]
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                break
+            high, pick = np.unique(np.maximum(x, y), return_index=True)  # one pair for each group that joins a smaller one
+            out.append(np.stack([a[pick], b[pick]]))
+            root[high] = np.minimum(x, y)[pick]
+            while not np.array_equal(up := root[root], root):
+                root = up
+    chosen = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return points[chosen[0]], points[chosen[1]]
+
+
+def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]], block_rows: int = 2048, pairs: bool = False) -> DataFrame:
+    """(a, b): a forest of all pairs of points (key, fp) that differ in at most ``distance`` bits, as keys.
+
+    b is the smallest key of a's group in a task; with ``pairs``, (a, b) is itself such a pair and the forest is one of
+    least total distance.
+    """
+    rows_at_once = 8_000 if pairs else 100_000  # a task holds all near pairs of so many rows, or only their groups
     exact, near = [], []
     for i, (bits, t) in enumerate(parts):
         mask = F.lit(_mask(bits))
@@ -184,42 +232,40 @@ def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]],
             for flips in combinations(bits, k):
                 sig = F.col("fp").bitwiseXOR(F.lit(_mask(flips))).bitwiseAND(mask) if k else F.col("fp").bitwiseAND(mask)
                 (near if k else exact).append(F.struct(F.lit(i).alias("part"), sig.alias("sig")))
-    rows = points.select("fp", F.explode(F.array(*exact, *near)).alias("s")).select("fp", "s.part", "s.sig")
+    rows = points.select("key", "fp", F.explode(F.array(*exact, *near)).alias("s")).select("key", "fp", "s.part", "s.sig")
     large = materialize(rows.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows), "signatures")
     n_large = large.count()
     if n_large:
         # at most rows / block_rows signatures: small enough to send out below 50,000, else joined by shuffle
         side = F.broadcast(large) if n_large <= 50_000 else large
         blocks = F.coalesce(F.ceil(F.col("c") / block_rows), F.lit(1)).cast("int")
-        rows = rows.join(side, ["part", "sig"], "left").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-        rows = rows.select("fp", "part", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-        rows = rows.select("fp", "part", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        rows = rows.join(side, ["part", "sig"], "left").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+        rows = rows.select("key", "fp", "part", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+        rows = rows.select("key", "fp", "part", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     else:
-        rows = rows.select("fp", "part", "sig", F.lit(0).alias("x"), F.lit(0).alias("y"))
+        rows = rows.select("key", "fp", "part", "sig", F.lit(0).alias("x"), F.lit(0).alias("y"))
     rows = rows.repartition("part", "sig", "x", "y").sortWithinPartitions("part", "sig", "x", "y")
 
+    def forest(block):
+        keys, fps, ids = block[:, 2:], block[:, 1], block[:, 0]
+        a, b = _spanning(keys, fps, ids, distance) if pairs else _forest(keys, fps, ids, distance)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     def run(batches):
         held, size = [], 0
-
-        def table(parts):
-            return np.concatenate(parts) if len(parts) > 1 else parts[0]
-
         for batch in batches:
-            block = np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(5)], axis=1)
-            held.append(block)
-            size += len(block)
-            if size >= 100_000:
-                both = table(held)
-                same = np.flatnonzero((both[:, 1:] != both[-1, 1:]).any(axis=1))
-                cut = int(same[-1]) + 1 if len(same) else 0  # the last key may go on in the next batch
-                if cut:
-                    a, b = _forest(both[:cut, 1:], both[:cut, 0], distance)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                held, size = [both[cut:]], len(both) - cut
+            held.append(np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(6)], axis=1))
+            size += batch.num_rows
+            if size >= rows_at_once:
+                block = np.concatenate(held)
+                other = np.flatnonzero((block[:, 2:] != block[-1, 2:]).any(axis=1))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
+                for piece in _pieces(block[:cut], rows_at_once):
+                    yield forest(piece)
+                held, size = [block[cut:]], len(block) - cut
         if size:
-            both = table(held)
-            a, b = _forest(both[:, 1:], both[:, 0], distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for piece in _pieces(np.concatenate(held), rows_at_once):
+                yield forest(piece)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -228,10 +274,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id, component_size."""
     own = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     points = materialize(own.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "points")
-    found = links(points, distance, plan(points, distance), block_rows)
+    found = links(points.select(F.col("fp").alias("key"), "fp"), distance, plan(points, distance), block_rows)
     roots = materialize(connected_components(found), "roots")
     linked = points.join(roots, points["fp"] == roots["node"]).select("fp", "root", "first", "n")
     whole = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
     linked = linked.join(whole, "root").select("fp", "component_id", "component_size")
     lone = points.join(roots, points["fp"] == roots["node"], "left_anti").select("fp", F.col("first").alias("component_id"), F.col("n").alias("component_size"))
     return own.join(linked.unionByName(lone), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def _shingles(text: str | None, width: int) -> frozenset:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 10, verify_width: int = 5, similarity: float = 0.8,
+                     block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each group of near copies, that with the smallest identifier.
+
+    Candidates are pairs of texts whose fingerprints differ in at most ``distance`` bits, a spanning forest of least
+    distance in each signature's group. A candidate links two texts if the Jaccard similarity of their ``verify_width``-word
+    shingles, computed exactly on the whole texts, is ``similarity`` or more; linked texts form a group. Rows of one text,
+    A-Z lower-cased or not, are for the exact stage; equal texts count as one text here.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = docs.select(F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(x.as_py(), width) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["key", "id", "fp"])
+
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    own = materialize(marked.mapInArrow(run, schema), "fingerprints")
+    points = materialize(own.select("key", "fp").distinct(), "points")
+    candidates = links(points, distance, plan(points, distance), block_rows, pairs=True)
+    candidates = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    nodes = candidates.select(F.col("a").alias("_key")).unionByName(candidates.select(F.col("b").alias("_key"))).distinct()
+    texts = marked.select("_key", "_text").join(_sized(nodes, broadcast_rows), "_key", "left_semi").dropDuplicates(["_key"])
+    texts = materialize(texts, "texts")
+    both = candidates.join(texts.select(F.col("_key").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_text").alias("y")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            keep, last, left = [], None, frozenset()
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if x != last:
+                    last, left = x, _shingles(x, verify_width)
+                right = _shingles(y, verify_width)
+                common = len(left & right)
+                keep.append(common >= similarity * (len(left) + len(right) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    verified = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    roots = connected_components(verified)
+    grouped = own.join(roots, own["key"] == roots["node"]).select("key", "id", "root")
+    stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
+    gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
+    gone = materialize(gone, "dropped")
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"))
+    same = (F.col("_key") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
+    return rows.join(_sized(gone, broadcast_rows), same, "left_anti").select("_row.*")
