@@ -154,6 +154,11 @@ def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tupl
     return min(plans, key=lambda p: p[0])[1]
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints; bitwise_count of a negative number would count its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _pieces(block: np.ndarray, size: int):
     """The rows of a sorted block in pieces of about ``size``, never cutting between rows of one key."""
     at = 0
@@ -174,7 +179,7 @@ def _forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -
     run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
     at, step = np.arange(len(keys)), 1
     while len(at := at[at + step < run_end[at]]):
-        near = np.bitwise_count(fps[at] ^ fps[at + step]) <= distance
+        near = _differing(fps[at], fps[at + step]) <= distance
         a, b = root[node[at[near]]], root[node[at[near] + step]]
         while len(a := a[keep := a != b]):
             b = b[keep]
@@ -195,7 +200,7 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int)
     run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
     at, step, found = np.arange(len(keys)), 1, [np.zeros((3, 0), np.int64)]
     while len(at := at[at + step < run_end[at]]):
-        bits = np.bitwise_count(fps[at] ^ fps[at + step])
+        bits = _differing(fps[at], fps[at + step])
         near = bits <= distance
         found.append(np.stack([bits[near].astype(np.int64), node[at[near]], node[at[near] + step]]))
         step += 1
