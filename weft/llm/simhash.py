@@ -143,7 +143,7 @@ def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tupl
                 for k in range(len(bits), 0, -1):
                     symmetric[k] += symmetric[k - 1] * odds[b]
             for t in range(distance + 1):
-                signatures = n * sum(comb(len(bits), k) for k in range(t + 1))
+                signatures = max(n, 1) * sum(comb(len(bits), k) for k in range(t + 1))
                 # two points at distance t here meet at their own values and at others between
                 candidates = near * sum(symmetric[: t + 1]) * (1 if t == 0 else 2)
                 of[t] = SIGNATURE_US * signatures + PAIR_US * candidates
@@ -304,8 +304,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Candidates are pairs of texts whose fingerprints differ in at most ``distance`` bits, a spanning forest of least
     distance in each signature's group. A candidate links two texts if the Jaccard similarity of their ``verify_width``-word
-    shingles, computed exactly on the whole texts, is ``similarity`` or more; linked texts form a group. Rows of one text,
-    A-Z lower-cased or not, are for the exact stage; equal texts count as one text here.
+    shingles, computed exactly on the whole texts, is ``similarity`` or more; linked texts form a group, and so do rows of
+    equal texts. Rows that repeat the identifier and text that stays, stay with it; if all identifiers of a group are null,
+    all its rows stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = docs.select(F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"))
@@ -338,7 +339,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     verified = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
     roots = connected_components(verified)
-    grouped = own.join(roots, own["key"] == roots["node"]).select("key", "id", "root")
+    grouped = own.join(roots, own["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
     gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
     gone = materialize(gone, "dropped")
