@@ -1,7 +1,7 @@
 """URL verdicts: fixed host/path rules first, then a path-template tree per host, in DataFrame operations only.
 
-The tree is built from counts of whole branches, never from rows. Level by level, a segment that carries digits, or that
-holds less than ``min_share`` of the pages of its parent, becomes a wildcard. Sibling branches whose labelled block rates
+The tree is built from counts of whole branches, never from rows. Level by level, segments that carry digits are one
+branch; it becomes a wildcard, and so does a segment that holds less than ``min_share`` of the pages of its parent. Sibling branches whose labelled block rates
 are alike (a two-proportion z below ``z``, or no labels at all) are merged into their parent's pool. What is left is a
 template; it is rejected when its smoothed purity, (blocked + strength * prior) / (labelled + strength), reaches
 ``reject``. The prior is the share of blocked pages among all labelled pages of all hosts.
@@ -30,6 +30,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
+#: Stands for all segments with digits; no path segment holds a slash.
+DIGITS = "/#"
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -56,6 +58,8 @@ def template_tree(branches: DataFrame, depth: int, min_share: float, z: float) -
         last = F.when(F.size("segments") > depth, F.lit("**")).otherwise(seg)
         level = out.withColumn("_seg", last if k + 1 == depth else seg)
         sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+        # segments with digits are one branch: a host with very many numbered pages gives few rows from here on
+        level = level.withColumn("_seg", F.when(F.col("_seg").rlike("[0-9]"), DIGITS).otherwise(F.col("_seg")))
         child = level.groupBy("host", "template", "_seg").agg(*sums)
         parent = child.groupBy("host", "template").agg(*[F.sum(c).alias("p_" + c) for c in ("n", "bad", "good")])
         labelled, p_labelled = F.col("bad") + F.col("good"), F.col("p_bad") + F.col("p_good")
@@ -63,9 +67,9 @@ def template_tree(branches: DataFrame, depth: int, min_share: float, z: float) -
         # of the branch against the whole of its parent; a pure parent has no variance and all its branches are alike
         spread = F.sqrt(rate * (1 - rate) / F.when(labelled > 0, labelled))
         score = F.abs(F.col("bad") / F.when(labelled > 0, labelled) - rate) / F.when(spread > 0, spread)
-        variable = F.col("_seg").rlike("[0-9]") | (F.col("n") < F.col("p_n") * min_share)
+        variable = (F.col("_seg") == DIGITS) | (F.col("n") < F.col("p_n") * min_share)
         alike = F.coalesce(score < z, F.lit(True))
-        name = F.when(F.col("_seg") == "", "").when(variable & alike, "/*").when(alike & (labelled > 0), "/~").otherwise(F.concat(F.lit("/"), "_seg"))
+        name = F.when(F.col("_seg") == "", "").when(variable & alike, "/*").when(alike & (labelled > 0), "/~").when(F.col("_seg") == DIGITS, "/#").otherwise(F.concat(F.lit("/"), "_seg"))
         names = child.join(parent, ["host", "template"]).select("host", "template", "_seg", name.alias("_name"))
         out = level.join(names, ["host", "template", "_seg"]).withColumn("template", F.concat("template", "_name")).drop("_seg", "_name")
         out = materialize(out, f"templates-{k}")  # the next level reads it three times
