@@ -114,3 +114,10 @@ def test_extractors():
     query = 'query { product(id: 1) { metafield(namespace: "a", key: "b") { value } ...F } } fragment F on Product { m: metafield(namespace: "c", key: "d") { value } ...F }'
     assert [(x["owner"], x["namespace"], x["key"]) for x in E.graphql_metafields(query)] == [("product", "a", "b"), ("product", "c", "d")]
     assert json.loads(json.dumps(E.script_facts("fetch(url); el.dataset.fooBar; import('./x.js')")))
+
+
+def test_portable_model_and_lock(theme):
+    model = theme.portable_model(["templates/index.json"])
+    assert {r.route for r in model["routes"].collect()} == {"/", "/collection", "/product", "/search"}
+    assert model["components"].count() == 7 + 8 + 2 + 2 and model["assets"].count() == 2
+    assert [tuple(r) for r in theme.schema_lock().collect()] == [("sections/hero.liquid", "setting", "title", "text")]

@@ -38,15 +38,10 @@ def range_violation(value: Column, least: Column | None = None, most: Column | N
 
 
 def assignable(source: Column, target: Column) -> Column:
-    """Whether a value of the source kind fits the target kind, for flat kinds: equal, unknown on either side, literals to
-    their base, and text-like kinds to string."""
-    return (
-        (source == target)
-        | source.isin("unknown") | target.isin("unknown")
-        | ((target == "string") & source.isin("string-literal", "url", "color", "richtext", "handle"))
-        | ((target == "number") & source.isin("number-literal", "money"))
-        | ((target == "nil") & (source == "nil"))
-    )
+    """Whether a value of the source kind fits the target kind, for flat kinds: equal kinds, unknown on either side, a
+    string literal to kinds that validate strings, a number literal to number. Nested types: ``type_expressions.fits``."""
+    text = (source == "string-literal") & target.isin("string", "url", "color", "handle")
+    return (source == target) | (source == "unknown") | (target == "unknown") | text | ((source == "number-literal") & (target == "number"))
 
 
 def is_handle(value: Column) -> Column:

@@ -101,8 +101,8 @@ SELECT CASE WHEN q < 5 THEN 'below' WHEN q > 45 THEN 'above' WHEN abs((q - 5) %
 
 SQL["assignable"] = """
 WITH k AS (SELECT unnest(['string', 'string-literal', 'url', 'color', 'number', 'number-literal', 'money', 'boolean', 'handle', 'nil', 'unknown']) AS k)
-SELECT a.k AS source, b.k AS target, a.k = b.k OR a.k = 'unknown' OR b.k = 'unknown' OR (b.k = 'string' AND a.k IN ('string-literal', 'url', 'color', 'handle'))
-  OR (b.k = 'number' AND a.k IN ('number-literal', 'money')) AS fits FROM k a, k b
+SELECT a.k AS source, b.k AS target, a.k = b.k OR a.k = 'unknown' OR b.k = 'unknown' OR (a.k = 'string-literal' AND b.k IN ('string', 'url', 'color', 'handle'))
+  OR (a.k = 'number-literal' AND b.k = 'number') AS fits FROM k a, k b
 """
 
 SQL["literal_validators"] = """

@@ -256,5 +256,24 @@ class Theme:
             "summary": {"unresolvedCount": self.unresolved().count(), "brokenMetafieldReadCount": self.broken_metafield_reads().count(), "affectedPageCount": 0},
         }
 
+    def portable_model(self, roots: list[str]) -> dict[str, DataFrame]:
+        """Components, render trees, routes, contracts, data requirements and assets of an application."""
+        roles = self.roles
+        return {
+            "components": roles.where(F.col("role").isin("section", "snippet", "themeBlock", "component")).select("path", "name", "role"),
+            "renderTrees": self.render_tree(roots),
+            "routes": roles.where(F.col("role").isin(*P.PAGE_ROLES)).select("path", P.template_route(F.col("path")).alias("route")),
+            "contracts": self._of("schema.setting", "id", "type").select("path", "id", "type"),
+            "dataRequirements": self.metafield_reads.select("path", "owner_type", "namespace", "key", "dynamic"),
+            "assets": roles.where("role = 'asset'").select("path"),
+        }
+
+    def schema_lock(self) -> DataFrame:
+        """(section, kind, id, type): what merchants' data may refer to; input of schema_drift and apply_migrations."""
+        sections = self.roles.where("role = 'section'").select("path")
+        settings = self._of("schema.setting", "id", "type").select("path", F.lit("setting").alias("kind"), "id", "type")
+        blocks = self._of("schema.block", "type").select("path", F.lit("block").alias("kind"), F.col("type").alias("id"), "type")
+        return settings.unionByName(blocks).join(sections, "path", "left_semi").withColumnRenamed("path", "section")
+
     def to_dot(self) -> str:
         return "digraph theme {\n" + "".join(f'  "{r.src}" -> "{r.dst}" [label="{r.kind}"];\n' for r in self.dependencies.orderBy("src", "dst").collect()) + "}\n"
