@@ -36,9 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/weft/{spark.sparkContext.applicationId}"
+
+
+def drop_run_files(spark: SparkSession) -> None:
+    """Deletes what this application has materialized. Only when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/weft/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*keys) if keys else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
