@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.session import materialize, shared_dir
+from weft.session import materialize, run_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 
@@ -242,7 +242,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     joined = rows.join(again, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     rows = joined.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "url", "payload", "digest", "refers_to")
     rows = rows.withColumn("digest", _base32(F.col("digest")))
-    return write_archives(rows, f"{shared_dir(spark)}/weft/warc-{uuid.uuid4().hex}", archive_bytes)
+    return write_archives(rows, f"{run_dir(spark)}/warc-{uuid.uuid4().hex}", archive_bytes)
 
 
 def _base32(hexes):
