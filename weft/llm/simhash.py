@@ -171,23 +171,46 @@ def _pieces(block: np.ndarray, size: int):
         yield block[at:]
 
 
+#: Rows of one key from which a key is compared as a matrix, and the rows of a matrix block.
+MATRIX, BLOCK = 48, 256
+
+
+def _near_pairs(keys: np.ndarray, fps: np.ndarray, distance: int):
+    """(i, j, bits) of all pairs of rows that share a key (keys are sorted) and differ in at most ``distance`` bits, in pieces."""
+    if not len(keys):
+        return
+    start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    end = np.append(start[1:], len(keys))
+    long = end - start >= MATRIX
+    for s, e in zip(start[long].tolist(), end[long].tolist()):
+        own = fps[s:e].view(np.uint64)
+        for i in range(0, e - s, BLOCK):
+            bits = np.bitwise_count(own[i : i + BLOCK, None] ^ own[None, i:])
+            hit = np.flatnonzero(bits <= distance)
+            x, y = np.divmod(hit, bits.shape[1])
+            upper = y > x
+            yield x[upper] + (s + i), y[upper] + (s + i), bits.ravel()[hit[upper]]
+    run_end = np.repeat(np.where(long, start, end), end - start)  # short runs: all rows against the next, the next but one ...
+    at, step = np.arange(len(keys)), 1
+    while len(at := at[at + step < run_end[at]]):
+        bits = _differing(fps[at], fps[at + step])
+        near = bits <= distance
+        yield at[near], at[near] + step, bits[near]
+        step += 1
+
+
 def _forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (id, smallest id of its group) among rows that share a key; keys are sorted."""
     points, node = np.unique(ids, return_inverse=True)
     root = np.arange(len(points))
-    change = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
-    run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
-    at, step = np.arange(len(keys)), 1
-    while len(at := at[at + step < run_end[at]]):
-        near = _differing(fps[at], fps[at + step]) <= distance
-        a, b = root[node[at[near]]], root[node[at[near] + step]]
+    for i, j, _ in _near_pairs(keys, fps, distance):
+        a, b = root[node[i]], root[node[j]]
         while len(a := a[keep := a != b]):
             b = b[keep]
             np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
             while not np.array_equal(up := root[root], root):
                 root = up
             a, b = root[a], root[b]
-        step += 1
     low = np.flatnonzero(root != np.arange(len(points)))
     return points[low], points[root[low]]
 
@@ -196,14 +219,7 @@ def _spanning(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int)
     """Pairs of ids within ``distance`` bits that share a key: a spanning forest of least total distance."""
     points, node = np.unique(ids, return_inverse=True)
     root = np.arange(len(points))
-    change = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
-    run_end = np.repeat(np.append(change[1:], len(keys)), np.diff(np.append(change, len(keys))))
-    at, step, found = np.arange(len(keys)), 1, [np.zeros((3, 0), np.int64)]
-    while len(at := at[at + step < run_end[at]]):
-        bits = _differing(fps[at], fps[at + step])
-        near = bits <= distance
-        found.append(np.stack([bits[near].astype(np.int64), node[at[near]], node[at[near] + step]]))
-        step += 1
+    found = [np.zeros((3, 0), np.int64), *(np.stack([bits.astype(np.int64), node[i], node[j]]) for i, j, bits in _near_pairs(keys, fps, distance))]
     pairs = np.concatenate(found, axis=1)
     out: list[np.ndarray] = []
     for level in range(distance + 1):
@@ -249,7 +265,8 @@ def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]],
         rows = rows.select("key", "fp", "part", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     else:
         rows = rows.select("key", "fp", "part", "sig", F.lit(0).alias("x"), F.lit(0).alias("y"))
-    rows = rows.repartition("part", "sig", "x", "y").sortWithinPartitions("part", "sig", "x", "y")
+    # with the key last, a task sees its points in one order, whatever order they came in
+    rows = rows.repartition("part", "sig", "x", "y").sortWithinPartitions("part", "sig", "x", "y", "key")
 
     def forest(block):
         keys, fps, ids = block[:, 2:], block[:, 1], block[:, 0]
