@@ -215,37 +215,12 @@ def _forest(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -
     return points[low], points[root[low]]
 
 
-def _spanning(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids within ``distance`` bits that share a key: a spanning forest of least total distance."""
-    points, node = np.unique(ids, return_inverse=True)
-    root = np.arange(len(points))
-    found = [np.zeros((3, 0), np.int64), *(np.stack([bits.astype(np.int64), node[i], node[j]]) for i, j, bits in _near_pairs(keys, fps, distance))]
-    pairs = np.concatenate(found, axis=1)
-    out: list[np.ndarray] = []
-    for level in range(distance + 1):
-        a, b = pairs[1:, pairs[0] == level]
-        while len(a):
-            x, y = root[a], root[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if not len(a):
-                break
-            high, pick = np.unique(np.maximum(x, y), return_index=True)  # one pair for each group that joins a smaller one
-            out.append(np.stack([a[pick], b[pick]]))
-            root[high] = np.minimum(x, y)[pick]
-            while not np.array_equal(up := root[root], root):
-                root = up
-    chosen = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return points[chosen[0]], points[chosen[1]]
-
-
-def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]], block_rows: int = 2048, pairs: bool = False) -> DataFrame:
+def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]], block_rows: int = 2048) -> DataFrame:
     """(a, b): a forest of all pairs of points (key, fp) that differ in at most ``distance`` bits, as keys.
 
-    b is the smallest key of a's group in a task; with ``pairs``, (a, b) is itself such a pair and the forest is one of
-    least total distance.
+    b is the smallest key of a's group in a task.
     """
-    rows_at_once = 8_000 if pairs else 100_000  # a task holds all near pairs of so many rows, or only their groups
+    rows_at_once = 100_000  # a task holds only the groups of so many rows
     exact, near = [], []
     for i, (bits, t) in enumerate(parts):
         mask = F.lit(_mask(bits))
@@ -270,7 +245,7 @@ def links(points: DataFrame, distance: int, parts: list[tuple[list[int], int]],
 
     def forest(block):
         keys, fps, ids = block[:, 2:], block[:, 1], block[:, 0]
-        a, b = _spanning(keys, fps, ids, distance) if pairs else _forest(keys, fps, ids, distance)
+        a, b = _forest(keys, fps, ids, distance)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
@@ -315,33 +290,181 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 10, verify_width: int = 5, similarity: float = 0.8,
-                     block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of ``_shingles``, sorted, each once."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    whole = b" ".join(words)
+    n = len(words) - width + 1
+    h = xxhash.xxh64_intdigest
+    if n <= 1:
+        return np.array([h(whole, 7)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
+    return np.unique(np.fromiter((h(whole[a:b], 7) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, n))
+
+
+#: Bits of a parity sketch, and its 64-bit words. Two sets differ in no fewer elements than their sketches in bits.
+SKETCH, SKETCH_WORDS = 1024, 16
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes in the order of all texts: two sets of Jaccard ``similarity`` or more share one of theirs.
+
+    The order: by hash, but ``common`` (sorted) last and by ``rank``.
+    """
+    n = len(hashes)
+    size = n - max(1, int(np.ceil(similarity * n - 1e-9))) + 1
+    if not len(common):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    last = common[at] == hashes
+    return np.concatenate([hashes[~last], hashes[last][np.argsort(rank[at[last]])]])[:size]
+
+
+def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+    """(i, j, bits) of pairs of rows that share a key (keys are sorted), in pieces: all whose sets can be similar enough."""
+    if not len(keys):
+        return
+    most = (1 - similarity) / (1 + similarity)  # of both sizes: elements that similar sets can differ in
+    start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    end = np.append(start[1:], len(keys))
+    long = end - start >= MATRIX
+    for s, e in zip(start[long].tolist(), end[long].tolist()):
+        for i in range(s, e, BLOCK):
+            to = min(i + BLOCK, e)
+            bits = np.zeros((to - i, e - i), np.int64)
+            for w in range(SKETCH_WORDS):
+                bits += np.bitwise_count(sketches[i:to, None, w] ^ sketches[None, i:e, w])
+            x, y = np.nonzero(bits <= most * (sizes[i:to, None] + sizes[None, i:e]) + 1e-6)
+            upper = y > x
+            yield x[upper] + i, y[upper] + i, bits[x[upper], y[upper]]
+    run_end = np.repeat(np.where(long, start, end), end - start)
+    at, step = np.arange(len(keys)), 1
+    while len(at := at[at + step < run_end[at]]):
+        bits = np.bitwise_count(sketches[at] ^ sketches[at + step]).sum(axis=1, dtype=np.int64)
+        near = bits <= most * (sizes[at] + sizes[at + step]) + 1e-6
+        yield at[near], at[near] + step, bits[near]
+        step += 1
+
+
+def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Of pairs (bits, a, b; columns) of n nodes, a spanning forest of least total bits: a, b."""
+    root = np.arange(n)
+    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    for level in np.unique(pairs[0]):
+        a, b = pairs[1:, pairs[0] == level]
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                break
+            high, pick = np.unique(np.maximum(x, y), return_index=True)  # one pair for each group that joins a smaller one
+            out.append(np.stack([a[pick], b[pick]]))
+            root[high] = np.minimum(x, y)[pick]
+            while not np.array_equal(up := root[root], root):
+                root = up
+    return np.concatenate(out, axis=1)
+
+
+def _candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b), a < b, of ``rows`` (key, root, n, sketch, sig, x, y): pairs that share sig, x, y, can be similar and have two roots.
+
+    With ``forest`` only a spanning forest of them in a task, of least total difference of the sketches.
+    """
+    rows_at_once = 8_000  # a task holds all pairs of so many rows
+    rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "key")
+
+    def pairs_of(block, sketch):
+        points, node = np.unique(block[:, 0], return_inverse=True)
+        found = []
+        for i, j, bits in _similar_pairs(block[:, 3:], block[:, 2], sketch, similarity):
+            apart = block[i, 1] != block[j, 1]
+            if apart.any():
+                a, b = node[i[apart]], node[j[apart]]
+                found.append(np.stack([bits[apart], np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+        if forest:
+            a, b = _spanning(pairs, len(points))
+        else:
+            a, b = np.divmod(np.unique(pairs[1] * len(points) + pairs[2]), max(1, len(points)))
+        return pa.RecordBatch.from_arrays([pa.array(points[a]), pa.array(points[b])], ["a", "b"])
+
+    def pieces(block, sketch):
+        at = 0
+        for piece in _pieces(block[:, 1:], rows_at_once):
+            yield pairs_of(block[at : at + len(piece)], sketch[at : at + len(piece)])
+            at += len(piece)
+
+    def run(batches):
+        held, sketches, size = [], [], 0
+        for batch in batches:
+            held.append(np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(6)], axis=1))
+            sketches.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS))
+            size += batch.num_rows
+            if size >= rows_at_once:
+                block, sketch = np.concatenate(held), np.concatenate(sketches)
+                other = np.flatnonzero((block[:, 3:] != block[-1, 3:]).any(axis=1))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
+                yield from pieces(block[:cut], sketch[:cut])
+                held, sketches, size = [block[cut:]], [sketch[cut:]], len(block) - cut
+        if size:
+            yield from pieces(np.concatenate(held), np.concatenate(sketches))
+
+    return rows.select("key", "root", "n", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _common_shingles(marked: DataFrame, width: int, rows: int, sample_rows: int = 4000, keep: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and ranks of shingles that many texts have, from a sample of the texts; ``keep`` at most."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(x.as_py(), width).view(np.int64))], ["hash"])
+
+    sample = marked.where(F.pmod(F.xxhash64(F.col("_key"), F.lit(1)), F.lit(max(1, rows // sample_rows))) == 0).select("_text")
+    got = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").orderBy(F.desc("c"), "hash").limit(keep).toPandas()
+    hashes = got["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - order  # the most frequent last
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify_width: int = 5, similarity: float = 0.8, block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each group of near copies, that with the smallest identifier.
 
-    Candidates are pairs of texts whose fingerprints differ in at most ``distance`` bits, a spanning forest of least
-    distance in each signature's group. A candidate links two texts if the Jaccard similarity of their ``verify_width``-word
-    shingles, computed exactly on the whole texts, is ``similarity`` or more; linked texts form a group, and so do rows of
-    equal texts. Rows that repeat the identifier and text that stays, stay with it; if all identifiers of a group are null,
-    all its rows stay.
+    Two texts are linked if the Jaccard similarity of their ``verify_width``-word shingles, computed on the whole texts, is
+    ``similarity`` or more; linked texts form a group, and so do rows of equal texts. All such pairs are found (but for
+    collisions of 64-bit hashes): they share one of the first shingles of each in an order of all shingles, rare ones first,
+    and their parity sketches differ in no more bits than similar sets can in elements. The first round verifies a spanning
+    forest of these pairs, of least difference; the second verifies every pair whose ends verified links have not joined.
+    Rows that repeat the identifier and text that stays, stay with it; if all identifiers of a group are null, all its rows
+    stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = docs.select(F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"))
+    own = materialize(marked.select(F.col("_key").alias("key"), F.col("_id").alias("id")), "keys")
+    n_rows, n_texts = own.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked, verify_width, n_rows))  # 50,000 hashes and ranks at most
 
-    def run(batches):
+    def prefixes(batches):
         for batch in batches:
-            fps = [fingerprint(x.as_py(), width) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["key", "id", "fp"])
-
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    own = materialize(marked.mapInArrow(run, schema), "fingerprints")
-    points = materialize(own.select("key", "fp").distinct(), "points")
-    candidates = links(points, distance, plan(points, distance), block_rows, pairs=True)
-    candidates = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    nodes = candidates.select(F.col("a").alias("_key")).unionByName(candidates.select(F.col("b").alias("_key"))).distinct()
-    texts = marked.select("_key", "_text").join(_sized(nodes, broadcast_rows), "_key", "left_semi").dropDuplicates(["_key"])
-    texts = materialize(texts, "texts")
-    both = candidates.join(texts.select(F.col("_key").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_text").alias("y")), "b")
+            hashes = [_shingle_hashes(x, verify_width) for x in batch.column(1).to_pylist()]
+            first = [_prefix(h, *common.value, similarity).view(np.int64) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "n", "sketch", "sigs"])
+
+    points = materialize(marked.select("_key", "_text").mapInArrow(prefixes, "key long, n long, sketch binary, sigs array<long>"), "prefixes")
+    if n_texts < n_rows:
+        points = materialize(points.dropDuplicates(["key"]), "prefixes")
+    rows = points.select("key", F.explode("sigs").alias("sig"))
+    shared = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "signatures")
+    rows = rows.join(shared, "sig").withColumn("nb", F.ceil(F.col("c") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    rows = rows.select("key", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = materialize(rows.select("key", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y")), "cells")
 
     def verify(batches):
         for batch in batches:
@@ -350,12 +473,24 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if x != last:
                     last, left = x, _shingles(x, verify_width)
                 right = _shingles(y, verify_width)
-                common = len(left & right)
-                keep.append(common >= similarity * (len(left) + len(right) - common))
+                both = len(left & right)
+                keep.append(both >= similarity * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    verified = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    roots = connected_components(verified)
+    def verified(candidates):
+        nodes = candidates.select(F.col("a").alias("_key")).unionByName(candidates.select(F.col("b").alias("_key"))).distinct()
+        texts = marked.select("_key", "_text").join(_sized(nodes, broadcast_rows), "_key", "left_semi").dropDuplicates(["_key"])
+        texts = materialize(texts, "texts")
+        both = candidates.join(texts.select(F.col("_key").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_text").alias("y")), "b")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+
+    sets = points.select("key", "n", "sketch")
+    tried = materialize(_candidates(rows.join(sets.withColumn("root", F.col("key")), "key"), similarity, True), "candidates")
+    linked = verified(tried)
+    joined = materialize(connected_components(linked), "roots")
+    rooted = sets.join(joined, sets["key"] == joined["node"], "left").select("key", "n", "sketch", F.coalesce("root", "key").alias("root"))
+    rest = materialize(_candidates(rows.join(rooted, "key"), similarity, False).join(tried, ["a", "b"], "left_anti"), "candidates")
+    roots = connected_components(linked.unionByName(verified(rest)))
     grouped = own.join(roots, own["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
     gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
