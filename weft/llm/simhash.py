@@ -307,11 +307,22 @@ def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
 SKETCH, SKETCH_WORDS = 1024, 16
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+def _sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _wide_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of four bits or more an element: it tells long texts apart, too."""
+    return _sketch(hashes, max(SKETCH, 1 << (4 * len(hashes) - 1).bit_length()))
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at least; the wider sketch is folded to the other's width."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The first hashes in the order of all texts: two sets of Jaccard ``similarity`` or more share one of theirs.
 
@@ -455,9 +466,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             hashes = [_shingle_hashes(x, verify_width) for x in batch.column(1).to_pylist()]
             first = [_prefix(h, *common.value, similarity).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "n", "sketch", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()), pa.array([_wide_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "n", "sketch", "wide", "sigs"])
 
-    points = materialize(marked.select("_key", "_text").mapInArrow(prefixes, "key long, n long, sketch binary, sigs array<long>"), "prefixes")
+    points = materialize(marked.select("_key", "_text").mapInArrow(prefixes, "key long, n long, sketch binary, wide binary, sigs array<long>"), "prefixes")
     if n_texts < n_rows:
         points = materialize(points.dropDuplicates(["key"]), "prefixes")
     rows = points.select("key", F.explode("sigs").alias("sig"))
@@ -477,7 +488,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 keep.append(both >= similarity * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    most = (1 - similarity) / (1 + similarity)
+
+    def possible(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
+            keep = [_least_difference(x, y) <= most * (n + m) + 1e-6 for n, x, m, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def verified(candidates):
+        wide = points.select("key", "n", "wide")
+        candidates = candidates.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+        candidates = materialize(candidates.mapInArrow(possible, "a long, b long"), "possible")
         nodes = candidates.select(F.col("a").alias("_key")).unionByName(candidates.select(F.col("b").alias("_key"))).distinct()
         texts = marked.select("_key", "_text").join(_sized(nodes, broadcast_rows), "_key", "left_semi").dropDuplicates(["_key"])
         texts = materialize(texts, "texts")
