@@ -4,9 +4,10 @@ A page becomes lines, one a block, each marked by the elements around it as arti
 sidebars, notices, adverts, forms, reader comments) or other. Pages are ordered by host and URL path; each is compared
 with the neighbour that has more leading path segments in common. The two lists of lines are aligned by their longest
 common subsequence and shared lines are deleted. What is left, without furniture, is the main text. Lines that the page
-marks as its article are not deleted: pages of one article share them as well. For the same reason a neighbour that
-shares more than ``copy_share`` of the page's unmarked text is taken for a copy, and the other neighbour is used. A page
-that marks an article keeps the article alone.
+marks as its article are not deleted: pages of one article share them as well. For the same reason a copy of the page is passed
+over for the other neighbour: a neighbour that shares more than ``copy_share`` of what the other neighbour does not share,
+or nearly all of the text. How long the boilerplate is does not matter. A page that marks an article keeps the article
+alone.
 
 The order is cut into ranges of ``range_rows`` pages or more (at most ``max_ranges``, so the driver holds at most twice as
 many boundary keys); a page at an edge also goes to the range beside it. So a host that holds a third of all pages is
@@ -35,6 +36,9 @@ from weft.session import materialize
 
 ARTICLE, FURNITURE, OTHER = "a", "f", "o"
 
+#: A page that shares all but this part of the text is a copy, whatever other pages share.
+NEARLY_ALL = 0.1
+
 #: Elements whose content is not text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -163,14 +167,20 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(lines: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]], copy_share: float) -> tuple[str, int]:
     """The text, and how many lines differencing deleted. neighbours: nearest first."""
-    shared: set[int] = set()
-    unmarked = sum(len(t) for m, t in lines if m == OTHER)
-    for other in neighbours:
-        found = common_lines([t for _, t in lines], [t for _, t in other])
-        if unmarked and sum(len(lines[i][1]) for i in found if lines[i][0] == OTHER) > copy_share * unmarked:
-            continue  # a copy of this page
-        shared = found
-        break
+    texts = [t for _, t in lines]
+    body = {i for i, (m, _) in enumerate(lines) if m != FURNITURE}
+    found = [common_lines(texts, [t for _, t in other]) for other in neighbours]
+
+    def size(places: set[int]) -> int:
+        return sum(len(texts[i]) for i in places)
+
+    def is_copy(k: int) -> bool:
+        if size(body - found[k]) <= NEARLY_ALL * size(body):
+            return True
+        # what another page does not share is this page's own: a copy shares that, a page of the same template does not
+        return any(size(own & found[k]) > copy_share * size(own) for j in range(len(found)) if j != k and (own := body - found[j]))
+
+    shared = next((found[k] for k in range(len(found)) if not is_copy(k)), set())
     marked = any(m == ARTICLE for m, _ in lines)
     shared = {i for i in shared if lines[i][0] != ARTICLE}
     left = [t for i, (m, t) in enumerate(lines) if i not in shared and (m == ARTICLE or m == OTHER and not marked)]
