@@ -23,3 +23,11 @@ def test_a_copy_is_passed_over():
     pages = [f"<body>{BOILERPLATE.format(x)}</body>" for x in ("one story of its own", "another story, quite", "another story, quite")]
     assert text(pages, 1) == "another story, quite"
     assert "another story, quite" in text(pages, 2)  # its only neighbour is a copy
+
+
+def test_shared_lines_of_marked_articles_are_deleted():
+    page = "<body><article><h1>{0}</h1><p>The text of {0}, which no other page has</p><p>Read more of our best stories</p></article></body>"
+    pages = [page.format(x) for x in ("one", "two", "two")]
+    assert text(pages, 0) == "one The text of one, which no other page has"
+    assert text(pages, 1) == "two The text of two, which no other page has"
+    assert text(pages, 2).startswith("two The text of two")  # its only neighbour is a copy

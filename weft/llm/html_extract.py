@@ -4,7 +4,7 @@ A page becomes lines, one a block, each marked by the elements around it as arti
 sidebars, notices, adverts, forms, reader comments) or other. Pages are ordered by host and URL path; each is compared
 with the neighbour that has more leading path segments in common. The two lists of lines are aligned by their longest
 common subsequence and shared lines are deleted. What is left, without furniture, is the main text. Lines that the page
-marks as its article are not deleted: pages of one article share them as well. For the same reason a copy of the page is passed
+marks as its article are deleted like others. Pages of one article share its lines as well, so a copy of the page is passed
 over for the other neighbour: a neighbour that shares more than ``copy_share`` of what the other neighbour does not share,
 or nearly all of the text. How long the boilerplate is does not matter. A page that marks an article keeps the article
 alone.
@@ -182,7 +182,6 @@ def main_text(lines: list[tuple[str, str]], neighbours: list[list[tuple[str, str
 
     shared = next((found[k] for k in range(len(found)) if not is_copy(k)), set())
     marked = any(m == ARTICLE for m, _ in lines)
-    shared = {i for i in shared if lines[i][0] != ARTICLE}
     left = [t for i, (m, t) in enumerate(lines) if i not in shared and (m == ARTICLE or m == OTHER and not marked)]
     return " ".join(left), len(shared)
 
