@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.sampling import sized
 from weft.llm.text import words_of
 from weft.session import materialize
 
@@ -255,8 +256,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their columns."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"))
-    return own.join(bad, F.col("_own").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadcast_rows: int = 100_000, **options) -> DataFrame:
+    """The rows of ``docs`` whose text has no hit, with their columns. Whether a row goes depends on its text alone, so
+    identifiers may be null or repeat. Texts move only if over ``broadcast_rows`` different ones are hit."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.concat(F.sha2(text, 256), F.lit(":"), F.octet_length(text).cast("string"))
+    texts = docs.select(own.alias("digest"), text.alias("text"))
+    bad = decontaminate(texts, benchmark, "digest", "text", **options).where("contaminated").select(F.col("digest").alias("_bad")).distinct()
+    bad = materialize(bad, "contaminated")
+    rows = docs.select(F.struct("*").alias("_row"), own.alias("_own"))
+    return rows.join(sized(bad, broadcast_rows), F.col("_own") == F.col("_bad"), "left_anti").select("_row.*")

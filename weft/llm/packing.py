@@ -3,7 +3,7 @@
 Texts are cut into sequences of at most ``max_tokens`` tokens, so the histogram of sequence lengths has at most that many
 entries, whatever the size of the input. A dynamic programme over the whole histogram chooses the ``buckets`` boundaries
 that need the least padding. Inside a bucket, sequences are numbered and cut into batches whose padded size stays within
-``token_budget``. Numbers come from counts per (bucket, part), where a part is a hash of the identifier: no bucket is
+``token_budget``. Numbers come from counts per (bucket, part), where a part is a hash of identifier and text: no bucket is
 numbered in one task, and consecutive parts share a batch, so only a bucket's last batch is not full.
 
 Defined results: a text without tokens (null, empty, blank) gives one row with n_tokens 0 and no bucket or batch; a text
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.sampling import sized
 from weft.llm.text import text_or_empty
 from weft.session import materialize
 
@@ -58,9 +59,10 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> t
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n): tokens of each text. vocabulary: a file of ranks that the driver reads and sends out; pattern: its word rule."""
+    """(id, n, mix): tokens of each text, and a hash of identifier and text. vocabulary: a file of ranks that the driver reads and sends out; pattern: its word rule."""
+    mix = F.xxhash64(F.col(id_col), F.col(text_col)).alias("mix")
     if vocabulary is None:
-        return docs.select(F.col(id_col).alias("id"), F.regexp_count(text_or_empty(text_col), F.lit(r"\S+")).cast("long").alias("n"))
+        return docs.select(F.col(id_col).alias("id"), F.regexp_count(text_or_empty(text_col), F.lit(r"\S+")).cast("long").alias("n"), mix)
     with open(vocabulary, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     shared = docs.sparkSession.sparkContext.broadcast((pattern, ranks))  # one vocabulary
@@ -71,10 +73,10 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str |
         rule, table = shared.value
         coder = tiktoken.Encoding("own", pat_str=rule, mergeable_ranks=table, special_tokens={})
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(coder.encode_ordinary(t or "")) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(coder.encode_ordinary(t or "")) for t in batch.column(1).to_pylist()], pa.int64()), batch.column(2)], ["id", "n", "mix"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("mix", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), mix).mapInArrow(count, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, max_tokens: int = 2048, token_budget: int = 16_384, part_rows: int = 2000,
@@ -85,9 +87,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     spark = docs.sparkSession
     sizes = materialize(token_counts(docs, id_col, text_col, vocabulary, pattern), "lengths")
     most = F.greatest(F.ceil(F.col("n") / max_tokens), F.lit(1)).cast("int")
-    cut = sizes.select("id", "n", F.explode(F.sequence(F.lit(0), most - 1)).alias("sequence"))
+    cut = sizes.select("id", "n", "mix", F.explode(F.sequence(F.lit(0), most - 1)).alias("sequence"))
     start = F.col("sequence").cast("long") * max_tokens
-    cut = cut.select("id", "sequence", start.alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("int").alias("n_tokens"))
+    cut = cut.select("id", "mix", "sequence", start.alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("int").alias("n_tokens"))
     histogram = sorted((r.n_tokens, r.c) for r in cut.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect())  # max_tokens rows
     ends, _ = optimal_boundaries([h[0] for h in histogram], [h[1] for h in histogram], buckets)
     bucket, size = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -95,14 +97,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
         size = F.when(F.col("n_tokens") <= ends[i], ends[i]).otherwise(size)
     has = F.col("n_tokens") > 0
-    parts = max(1, min(-(-sum(h[1] for h in histogram) // part_rows), 100_000 // max(1, len(ends))))
+    parts = max(1, -(-sum(h[1] for h in histogram) // (part_rows * max(1, len(ends)))))
     cut = cut.withColumn("bucket", F.when(has, bucket)).withColumn("bucket_tokens", F.when(has, size))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("id", "sequence"), F.lit(parts)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("mix", "sequence"), F.lit(parts)))
     counts = materialize(cut.where(has).groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c")), "counts")
-    # the number of rows before each part of a bucket: 100,000 rows at most, whatever the input
+    # the number of rows before each part of a bucket: a row for about part_rows sequences
     begin = counts.selectExpr("bucket", "part", "sum(c) over (partition by bucket order by part rows between unbounded preceding and 1 preceding) as begin")
     begin = begin.withColumn("begin", F.coalesce("begin", F.lit(0).cast("long")))
-    numbered = cut.where(has).selectExpr("*", "row_number() over (partition by bucket, part order by id, sequence) - 1 as own").join(F.broadcast(begin), ["bucket", "part"])
+    numbered = cut.where(has).selectExpr("*", "row_number() over (partition by bucket, part order by id, mix, sequence) - 1 as own").join(sized(begin, 100_000), ["bucket", "part"])
     place, rows = F.col("begin") + F.col("own"), F.floor(F.lit(token_budget) / F.col("bucket_tokens"))
     columns = [F.col("id").alias(id_col), "sequence", "start", "n_tokens", "bucket", "bucket_tokens"]
     packed = numbered.select(*columns, F.floor(place / rows).alias("batch"), (place % rows).cast("int").alias("slot"))

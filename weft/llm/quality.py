@@ -1,18 +1,24 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are trigrams of character classes, over all of its bytes, and shares that a page of prose keeps within
-narrow bounds (repeated words, distinct words, word length, mean line length). Terms are weighted by log frequency and
-inverse document frequency and projected on the leading singular vectors of the training matrix. The labelled vectors, at
-most about ``max_rows`` a label, are broadcast: a proven bound of 2 * max_rows * dimensions floats. Every text's cosine
-with every labelled vector is computed, block by block; the ``neighbours`` nearest vote with the weight of their
-similarity, and votes are corrected for the labels' shares in the sample.
-
-Defined results: a null text counts as empty and gets a score like any other; repeated rows give one row each; with
-labels of one value only, the score is that value; without labels, 0.5; other columns are ignored.
+A text's terms are its words (lower-cased A-Z, hashed into ``WORDS`` buckets), trigrams of character classes over all of its
+bytes, and shares that prose keeps within narrow bounds (repeated words, distinct words, word length, mean line length).
+Terms are weighted by log frequency and inverse document frequency and projected on the leading singular vectors of the
+training matrix. The labelled vectors, at most about ``max_rows`` a label, are broadcast: a proven bound of 2 * max_rows *
+dimensions floats. Every text's cosine with every labelled vector is computed, block by block; the ``neighbours`` nearest vote
+with the weight of their similarity. A sampled vector stands for as many labelled rows as its label has for each sampled one,
+and its vote is multiplied by that number, so scores mean the same whether or not the sample was cut.
+
+Defined results: a null text counts as empty and gets a score like any other; repeated rows give one row each and are learned
+from once; an identifier with conflicting labels has the largest; labels of null identifiers are not used; with labels of one
+value only, the score is that value; without labels, 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from typing import NamedTuple
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +46,8 @@ _TABLE = _classes()
 TRIGRAMS = CLASSES**3
 LEVELS = 12  # steps of each share
 SHARES = 5
-TERMS = TRIGRAMS + LEVELS * SHARES
+WORDS = 4096
+TERMS = TRIGRAMS + LEVELS * SHARES + WORDS
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +64,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = max(1, len(words))
     repeated = sum(map(bytes.__eq__, words, words[1:])) / n
     lines = raw.split(b"\n")
+    number = Counter(raw.lower().split())
     shares = (
         repeated,
         len(set(words)) / n,
@@ -65,41 +73,53 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         min(1.0, np.log1p(len(raw) / len(lines)) / 12),
     )
     own = [TRIGRAMS + i * LEVELS + min(LEVELS - 1, int(x * LEVELS)) for i, x in enumerate(shares)]
-    return np.concatenate([terms, own]), np.concatenate([weights, np.full(SHARES, 0.02)])
-
-
-class NeighbourModel:
-    """idf, projection, labelled unit vectors, their labels and weights."""
-
-    def __init__(self, idf, projection, vectors, labels, weights, neighbours, prior):
-        self.idf, self.projection, self.vectors, self.labels, self.weights, self.neighbours, self.prior = idf, projection, vectors, labels, weights, neighbours, prior
-
-    def embed(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.projection.shape[1]), np.float32)
-        for i, text in enumerate(texts):
-            terms, freq = features(text)
-            x = np.log1p(1000 * freq) * self.idf[terms]
-            out[i] = x.astype(np.float32) @ self.projection[terms]
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    def score(self, texts: list[str | None], block: int = 1024) -> np.ndarray:
-        if self.vectors is None:
-            return np.full(len(texts), self.prior)
-        out = np.zeros(len(texts))
-        for i in range(0, len(texts), block):
-            cosine = self.embed(texts[i : i + block]) @ self.vectors.T
-            k = min(self.neighbours, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * self.weights[near]
-            out[i : i + block] = ((vote * self.labels[near]).sum(axis=1) + 1e-9 * self.prior) / (vote.sum(axis=1) + 1e-9)
-        return np.clip(out, 0, 1)
+    buckets = np.fromiter((crc32(w) % WORDS for w in number), np.int64, len(number))
+    counts = np.bincount(buckets, np.fromiter(number.values(), float, len(number)), minlength=1)
+    used = np.flatnonzero(counts)
+    return np.concatenate([terms, own, TRIGRAMS + LEVELS * SHARES + used]), np.concatenate([weights, np.full(SHARES, 0.02), counts[used] / n])
+
+
+class NeighbourModel(NamedTuple):
+    """idf, projection, labelled unit vectors, their labels and weights; without vectors every score is ``prior``."""
+
+    idf: np.ndarray
+    projection: np.ndarray
+    vectors: np.ndarray | None
+    labels: np.ndarray | None
+    weights: np.ndarray | None
+    neighbours: int
+    prior: float
+
+
+def embed(idf: np.ndarray, projection: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    out = np.zeros((len(texts), projection.shape[1]), np.float32)
+    for i, text in enumerate(texts):
+        terms, freq = features(text)
+        x = np.log1p(1000 * freq) * idf[terms]
+        out[i] = x.astype(np.float32) @ projection[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def score(idf, projection, vectors, labels, weights, neighbours, prior, texts: list[str | None], block: int = 1024) -> np.ndarray:
+    """The weighted vote of each text's nearest labelled vectors, by exact cosines."""
+    if vectors is None:
+        return np.full(len(texts), prior)
+    out = np.zeros(len(texts))
+    for i in range(0, len(texts), block):
+        cosine = embed(idf, projection, texts[i : i + block]) @ vectors.T
+        k = min(neighbours, cosine.shape[1])
+        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * weights[near]
+        out[i : i + block] = ((vote * labels[near]).sum(axis=1) + 1e-9 * prior) / (vote.sum(axis=1) + 1e-9)
+    return np.clip(out, 0, 1)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1500, dimensions: int = 48, neighbours: int = 25) -> NeighbourModel:
-    """A model from the labelled rows, at most about ``max_rows`` a label; the bound holds what comes to the driver."""
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    marks = bounded_sample(marks, "_label", "_id", max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(marks), "_id")  # 2 * max_rows rows at most
+    """A model from the labelled rows, at most about ``max_rows`` a label, whatever repeats: the bound holds what is sent out and what comes to the driver."""
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    marks, full = bounded_sample(marks, "_label", ["_id"], max_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(marks), "_id")  # about 2 * max_rows rows
+    rows, _ = bounded_sample(rows, "_label", ["_id", "_text"], max_rows)  # identifiers of documents may repeat
 
     def run(batches):
         for batch in batches:
@@ -109,11 +129,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     got = rows.select(F.col("_label"), "_text").mapInArrow(run, "label int, terms array<int>, freq array<float>").toPandas()
     got["terms"], got["freq"] = [np.asarray(x, np.int64) for x in got["terms"]], [np.asarray(x, np.float64) for x in got["freq"]]
     y = got["label"].to_numpy(dtype=float)
-    prior = float(y.mean()) if len(y) else 0.5
+    stands_for = {value: full[value] / max(1, int((y == value).sum())) for value in full}
+    weights = np.array([max(1.0, stands_for[int(v)]) for v in y])
+    prior = float((weights * y).sum() / weights.sum()) if len(y) else 0.5
     if len(set(y)) < 2:
         return NeighbourModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), None, None, None, neighbours, prior)
     order = np.lexsort([[len(t) for t in got["terms"]], [float(f.sum()) for f in got["freq"]], y])  # whatever order the rows came in
-    got, y = got.iloc[order], y[order]
+    got, y, weights = got.iloc[order], y[order], weights[order]
     x = np.zeros((len(got), TERMS), np.float32)
     for i, (terms, freq) in enumerate(zip(got["terms"], got["freq"])):
         x[i, terms] = np.log1p(1000 * freq)
@@ -121,30 +143,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     x *= idf.astype(np.float32)
     used = np.flatnonzero(x.any(axis=0))
     # leading right singular vectors by the smaller of the two Gram matrices
-    dense = x[:, used].astype(np.float64)
+    dense = x[:, used]
     if len(used) <= len(dense):
-        vectors = np.linalg.eigh(dense.T @ dense)[1][:, ::-1][:, :dimensions]
+        vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))[1][:, ::-1][:, :dimensions]
     else:
-        values, left = np.linalg.eigh(dense @ dense.T)
+        values, left = np.linalg.eigh((dense @ dense.T).astype(np.float64))
         values, left = values[::-1][:dimensions], left[:, ::-1][:, :dimensions]
-        vectors = dense.T @ left / np.sqrt(np.maximum(values, 1e-9))
+        vectors = dense.T @ left.astype(np.float32) / np.sqrt(np.maximum(values, 1e-9))
     projection = np.zeros((TERMS, vectors.shape[1]), np.float32)
     projection[used] = vectors
     latent = x @ projection
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return NeighbourModel(idf, projection, latent, y, np.ones(len(y)), neighbours, prior)
+    return NeighbourModel(idf, projection, latent, y, weights, neighbours, prior)
 
 
 def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs`` with score."""
     kept = docs.columns if keep is None else keep
     schema = T.StructType([*(T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(kept)), T.StructField("_score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS * dimensions + 2 * max_rows * dimensions floats
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain arrays: TERMS * dimensions + 2 * max_rows * dimensions floats
 
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.score(texts), pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score(*shared.value, texts), pa.float64())], schema.names)
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)])
     return rows.mapInArrow(run, schema).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_score").alias("score"))

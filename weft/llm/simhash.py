@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.sampling import sized
 from weft.operators.components import connected_components
 from weft.session import materialize
 
@@ -49,11 +50,16 @@ def fingerprint(text: str | None, width: int) -> int:
         starts = np.concatenate([[0], ends[: n - 1]]).tolist()
         h = xxhash.xxh64_intdigest
         hashes = np.fromiter((h(whole[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, n)
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
@@ -285,11 +291,6 @@ def _shingles(text: str | None, width: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of every shingle of ``_shingles``, sorted, each once."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -338,7 +339,7 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity
 
 
 def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """(i, j, bits) of pairs of rows that share a key (keys are sorted), in pieces: all whose sets can be similar enough."""
+    """(i, j) of pairs of rows that share a key (keys are sorted), in pieces: all whose sets can be similar enough."""
     if not len(keys):
         return
     most = (1 - similarity) / (1 + similarity)  # of both sizes: elements that similar sets can differ in
@@ -353,57 +354,31 @@ def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, si
                 bits += np.bitwise_count(sketches[i:to, None, w] ^ sketches[None, i:e, w])
             x, y = np.nonzero(bits <= most * (sizes[i:to, None] + sizes[None, i:e]) + 1e-6)
             upper = y > x
-            yield x[upper] + i, y[upper] + i, bits[x[upper], y[upper]]
+            yield x[upper] + i, y[upper] + i
     run_end = np.repeat(np.where(long, start, end), end - start)
     at, step = np.arange(len(keys)), 1
     while len(at := at[at + step < run_end[at]]):
         bits = np.bitwise_count(sketches[at] ^ sketches[at + step]).sum(axis=1, dtype=np.int64)
         near = bits <= most * (sizes[at] + sizes[at + step]) + 1e-6
-        yield at[near], at[near] + step, bits[near]
+        yield at[near], at[near] + step
         step += 1
 
 
-def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Of pairs (bits, a, b; columns) of n nodes, a spanning forest of least total bits: a, b."""
-    root = np.arange(n)
-    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-    for level in np.unique(pairs[0]):
-        a, b = pairs[1:, pairs[0] == level]
-        while len(a):
-            x, y = root[a], root[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if not len(a):
-                break
-            high, pick = np.unique(np.maximum(x, y), return_index=True)  # one pair for each group that joins a smaller one
-            out.append(np.stack([a[pick], b[pick]]))
-            root[high] = np.minimum(x, y)[pick]
-            while not np.array_equal(up := root[root], root):
-                root = up
-    return np.concatenate(out, axis=1)
-
-
-def _candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(a, b), a < b, of ``rows`` (key, root, n, sketch, sig, x, y): pairs that share sig, x, y, can be similar and have two roots.
-
-    With ``forest`` only a spanning forest of them in a task, of least total difference of the sketches.
-    """
+def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of ``rows`` (key, root, n, sketch, sig, x, y): all pairs that share sig, x, y, can be similar and have two roots."""
     rows_at_once = 8_000  # a task holds all pairs of so many rows
     rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "key")
 
     def pairs_of(block, sketch):
         points, node = np.unique(block[:, 0], return_inverse=True)
         found = []
-        for i, j, bits in _similar_pairs(block[:, 3:], block[:, 2], sketch, similarity):
+        for i, j in _similar_pairs(block[:, 3:], block[:, 2], sketch, similarity):
             apart = block[i, 1] != block[j, 1]
             if apart.any():
                 a, b = node[i[apart]], node[j[apart]]
-                found.append(np.stack([bits[apart], np.minimum(a, b), np.maximum(a, b)]))
-        pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-        if forest:
-            a, b = _spanning(pairs, len(points))
-        else:
-            a, b = np.divmod(np.unique(pairs[1] * len(points) + pairs[2]), max(1, len(points)))
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        a, b = np.divmod(np.unique(pairs[0] * len(points) + pairs[1]), max(1, len(points)))
         return pa.RecordBatch.from_arrays([pa.array(points[a]), pa.array(points[b])], ["a", "b"])
 
     def pieces(block, sketch):
@@ -430,52 +405,72 @@ def _candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     return rows.select("key", "root", "n", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _common_shingles(marked: DataFrame, width: int, rows: int, sample_rows: int = 4000, keep: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and ranks of shingles that many texts have, from a sample of the texts; ``keep`` at most."""
+def _common_shingles(texts: DataFrame, width: int, sample_rows: int = 4000, keep: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and ranks of shingles that many texts (_own, _text) have, from a sample of the texts; ``keep`` at most.
+
+    Only the order of shingles depends on them, and with it how many candidates there are, not which pairs are found.
+    """
 
     def run(batches):
         for batch in batches:
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(x.as_py(), width).view(np.int64))], ["hash"])
 
-    sample = marked.where(F.pmod(F.xxhash64(F.col("_key"), F.lit(1)), F.lit(max(1, rows // sample_rows))) == 0).select("_text")
+    rows = texts.count()
+    sample = texts.where(F.pmod(F.xxhash64("_own"), F.lit(max(1, rows // sample_rows))) == 0).select("_text")
     got = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").orderBy(F.desc("c"), "hash").limit(keep).toPandas()
     hashes = got["hash"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], len(hashes) - order  # the most frequent last
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify_width: int = 5, similarity: float = 0.8, block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify_width: int = 5, similarity: float = 0.8, distance: int = 6, block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each group of near copies, that with the smallest identifier.
 
     Two texts are linked if the Jaccard similarity of their ``verify_width``-word shingles, computed on the whole texts, is
-    ``similarity`` or more; linked texts form a group, and so do rows of equal texts. All such pairs are found (but for
-    collisions of 64-bit hashes): they share one of the first shingles of each in an order of all shingles, rare ones first,
-    and their parity sketches differ in no more bits than similar sets can in elements. The first round verifies a spanning
-    forest of these pairs, of least difference; the second verifies every pair whose ends verified links have not joined.
-    Rows that repeat the identifier and text that stays, stay with it; if all identifiers of a group are null, all its rows
-    stay.
+    ``similarity`` or more; linked texts form a group, and so do rows of equal texts. The first round verifies the links of
+    fingerprints of these shingles within ``distance`` bits (a forest, as ``links`` gives it), which joins most copies. Near
+    texts can lie further apart in bits, so the second round finds every other pair (but for collisions of 64-bit hashes):
+    similar texts share one of the first shingles of each in an order of all shingles, rare ones first, and their parity
+    sketches differ in no more bits than similar sets can in elements. It verifies each pair whose ends are still apart, so
+    the result depends neither on ``distance`` nor on how rows are dealt.
+
+    Equal texts are told by SHA-256 and length. Rows that repeat the identifier and text that stays, stay with it; if all
+    identifiers of a group are null, all its rows stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.select(F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"))
-    own = materialize(marked.select(F.col("_key").alias("key"), F.col("_id").alias("id")), "keys")
-    n_rows, n_texts = own.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked, verify_width, n_rows))  # 50,000 hashes and ranks at most
+    own_text = F.concat(F.unhex(F.sha2(text, 256)), F.encode(F.octet_length(text).cast("string"), "UTF-8"))
+    marked = docs.select(F.col(id_col).alias("_id"), own_text.alias("_own"), text.alias("_text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 50,000 hashes and ranks at most
 
     def prefixes(batches):
         for batch in batches:
-            hashes = [_shingle_hashes(x, verify_width) for x in batch.column(1).to_pylist()]
+            hashes = [_shingle_hashes(x, verify_width) for x in batch.column(2).to_pylist()]
             first = [_prefix(h, *common.value, similarity).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()), pa.array([_wide_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "n", "sketch", "wide", "sigs"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_majority(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()),
+                 pa.array([_wide_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "own", "n", "fp", "sketch", "wide", "sigs"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("own", T.BinaryType())])
+    for name, kind in (("n", T.LongType()), ("fp", T.LongType()), ("sketch", T.BinaryType()), ("wide", T.BinaryType()), ("sigs", T.ArrayType(T.LongType()))):
+        schema.add(name, kind)
+    rows = marked.select("_id", "_own", "_text").mapInArrow(prefixes, schema).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "prefixes")  # a written table: a row keeps its number
+    # a point is a text, and its key the number of its first row
+    texts = materialize(rows.groupBy("own").agg(F.min("row").alias("key"), F.count(F.lit(1)).alias("c")), "texts")
+    repeated = texts.where("c > 1")
+    if repeated.isEmpty():
+        points, members = rows.withColumnRenamed("row", "key"), rows.select(F.col("row").alias("key"), "own", "id")
+    else:
+        copies = rows.select("own", "id", "row").join(repeated, "own", "left")
+        members = copies.select(F.coalesce("key", "row").alias("key"), "own", "id")
+        points = materialize(rows.join(texts.select(F.col("key").alias("row")), "row", "left_semi").withColumnRenamed("row", "key"), "points")
 
-    points = materialize(marked.select("_key", "_text").mapInArrow(prefixes, "key long, n long, sketch binary, wide binary, sigs array<long>"), "prefixes")
-    if n_texts < n_rows:
-        points = materialize(points.dropDuplicates(["key"]), "prefixes")
-    rows = points.select("key", F.explode("sigs").alias("sig"))
-    shared = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "signatures")
-    rows = rows.join(shared, "sig").withColumn("nb", F.ceil(F.col("c") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    rows = rows.select("key", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = materialize(rows.select("key", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y")), "cells")
+    sigs = points.select("key", F.explode("sigs").alias("sig"))
+    shared = materialize(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "signatures")
+    cells = sigs.join(shared, "sig").withColumn("nb", F.ceil(F.col("c") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    cells = cells.select("key", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    cells = materialize(cells.select("key", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y")), "cells")
 
     def verify(batches):
         for batch in batches:
@@ -492,31 +487,34 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def possible(batches):
         for batch in batches:
-            rows = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
-            keep = [_least_difference(x, y) <= most * (n + m) + 1e-6 for n, x, m, y in rows]
+            columns = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
+            keep = [_least_difference(x, y) <= most * (n + m) + 1e-6 for n, x, m, y in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(candidates):
         wide = points.select("key", "n", "wide")
         candidates = candidates.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
         candidates = materialize(candidates.mapInArrow(possible, "a long, b long"), "possible")
-        nodes = candidates.select(F.col("a").alias("_key")).unionByName(candidates.select(F.col("b").alias("_key"))).distinct()
-        texts = marked.select("_key", "_text").join(_sized(nodes, broadcast_rows), "_key", "left_semi").dropDuplicates(["_key"])
-        texts = materialize(texts, "texts")
-        both = candidates.join(texts.select(F.col("_key").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("_key").alias("b"), F.col("_text").alias("y")), "b")
+        ends = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+        named = materialize(points.select("key", F.col("own").alias("_own")).join(sized(ends, broadcast_rows), "key", "left_semi"), "ends")
+        wanted = marked.select("_own", "_text").join(sized(named, broadcast_rows), "_own").select("key", "_text")
+        wanted = materialize(wanted if repeated.isEmpty() else wanted.dropDuplicates(["key"]), "texts")
+        both = candidates.join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
-    sets = points.select("key", "n", "sketch")
-    tried = materialize(_candidates(rows.join(sets.withColumn("root", F.col("key")), "key"), similarity, True), "candidates")
-    linked = verified(tried)
+    prints = points.select("key", "fp")
+    near = links(prints, distance, plan(prints, distance))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = verified(materialize(near, "candidates"))
     joined = materialize(connected_components(linked), "roots")
+    sets = points.select("key", "n", "sketch")
     rooted = sets.join(joined, sets["key"] == joined["node"], "left").select("key", "n", "sketch", F.coalesce("root", "key").alias("root"))
-    rest = materialize(_candidates(rows.join(rooted, "key"), similarity, False).join(tried, ["a", "b"], "left_anti"), "candidates")
+    rest = materialize(_candidates(cells.join(rooted, "key"), similarity), "candidates")
     roots = connected_components(linked.unionByName(verified(rest)))
-    grouped = own.join(roots, own["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    grouped = members.join(roots, members["key"] == roots["node"]).select("own", "id", "root") if repeated.isEmpty() else members.join(roots, members["key"] == roots["node"], "left").select("own", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
-    gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
+    gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("own").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
     gone = materialize(gone, "dropped")
-    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_key"), F.col(id_col).alias("_id"))
-    same = (F.col("_key") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
-    return rows.join(_sized(gone, broadcast_rows), same, "left_anti").select("_row.*")
+    kept = docs.select(F.struct("*").alias("_row"), own_text.alias("_own"), F.col(id_col).alias("_id"))
+    same = (F.col("_own") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
+    return kept.join(sized(gone, broadcast_rows), same, "left_anti").select("_row.*")

@@ -11,8 +11,10 @@ files under new names, and only the names that the successful attempt returns ar
 
 Defined results: a null payload is empty; equal payloads (SHA-1 and length) give one response, that with the smallest
 identifier, and revisits; rows that repeat the response's identifier and payload are responses too, since a record cannot
-refer to itself; a null identifier is written as the empty name, is never referred to and revisits any other; a null url
-is empty; an empty table gives no archive and no record; other columns are ignored.
+refer to itself; a null identifier is written under a name of its own and read back as null, is never referred to and
+revisits any other; identifiers are escaped, so none can forge a header; a null url is empty; an empty table gives no archive
+and no record; other columns are ignored. A payload that differs from what its record says stops the reader, unless
+``strict`` is false.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import json
 import struct
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -129,16 +132,28 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(key: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+RECORD, NO_NAME = "urn:page:", "urn:page-without-name"
+
+
+def _name(key: str | None) -> str:
+    return NO_NAME if key is None else RECORD + quote(key, safe="")
+
+
+def _key(name: str | None) -> str | None:
+    """The identifier in a header's <name>; null for none."""
+    return unquote(name[1 + len(RECORD) : -1]) if name and name.startswith("<" + RECORD) else None
+
+
+def _record(key: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{key}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_name(key)}>",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_name(refers_to)}>"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 3, mtime=0)
 
 
@@ -186,7 +201,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 64 << 20,
     return materialize(wanted.mapInArrow(write, "archive string, records long"), "archives")
 
 
-def read_archives(archives: DataFrame, block: int = 500) -> DataFrame:
+def read_archives(archives: DataFrame, block: int = 500, blocks_at_once: int = 4, strict: bool = True) -> DataFrame:
     """A row per record of all archives: archive, key, record_type, refers_to, url, payload_digest, payload_bytes, payload (null for revisits), verified."""
 
     def locate(batches):
@@ -217,16 +232,21 @@ def read_archives(archives: DataFrame, block: int = 500) -> DataFrame:
                         warc, http, payload = parse_record(_at(file, at, length))
                         full = warc["warc-type"] == "response"
                         digest = warc["warc-payload-digest"].removeprefix("sha1:")
-                        key, refers = (warc[x][len("<urn:page:") : -1] if x in warc else None for x in ("warc-record-id", "warc-refers-to"))
+                        key, refers = _key(warc["warc-record-id"]), _key(warc.get("warc-refers-to"))
                         size = int(http["content-length"])
                         # a payload that is here must be what its record says
                         sound = not full or (len(payload) == size and sha1_base32(payload) == digest)
+                        if strict and not sound:
+                            raise ValueError(f"{uri}: the payload of {key} is not what its record says")
                         out.append((uri, key, warc["warc-type"], refers, warc["warc-target-uri"], digest, size, payload if full else None, sound))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    places = archives.select("archive").repartition("archive").mapInArrow(locate, "archive string, offsets array<long>, lengths array<long>")
+    # counts of tasks are given: rows that only name places are so small that all would be read by one task
+    n = archives.agg(F.count(F.lit(1)).alias("archives"), F.sum(F.ceil(F.col("records") / block)).alias("blocks")).first()
+    places = archives.select("archive").repartition(max(1, n.archives), "archive").mapInArrow(locate, "archive string, offsets array<long>, lengths array<long>")
     # blocks of one archive go to many tasks
-    return places.repartition("archive", F.col("offsets")[0]).mapInArrow(read, "archive string, key string, record_type string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, verified boolean")
+    dealt = places.repartition(max(1, -(-(n.blocks or 0) // blocks_at_once)), "archive", F.col("offsets")[0])
+    return dealt.mapInArrow(read, "archive string, key string, record_type string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, verified boolean")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -240,7 +260,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     again = alike.join(firsts, ["digest", "size"]).where(~F.col("id").eqNullSafe(F.col("first")))
     again = again.select(F.col("digest").alias("_digest"), F.col("id").alias("_id"), F.col("first").cast("string").alias("refers_to"))
     joined = rows.join(again, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    rows = joined.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "url", "payload", "digest", "refers_to")
+    rows = joined.select(F.col("id").cast("string").alias("key"), "url", "payload", "digest", "refers_to")
     rows = rows.withColumn("digest", _base32(F.col("digest")))
     return write_archives(rows, f"{run_dir(spark)}/warc-{uuid.uuid4().hex}", archive_bytes)
 
