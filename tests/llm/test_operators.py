@@ -311,6 +311,77 @@ def test_license_scan_base(spark, awkward):
     assert license_scan(awkward[0]).count() == len(awkward[1]) and license_scan(empty(df)).count() == 0
 
 
+def sample_of(tree, rng):
+    """A random text that a parsed regular expression matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)) if str(kind) == "RANGE" else "w"
+        elif name == "BRANCH":
+            out += sample_of(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += sample_of(arg[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample_of(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        else:
+            out += "w"
+    return out
+
+
+def rule_samples(rng, n):
+    import re._parser as parser
+
+    for rule in signature_rules():
+        tree = parser.parse(rule.regex)
+        yield rule, [sample_of(tree, rng) for _ in range(n)]
+
+
+def test_every_form_of_every_rule_passes_its_own_gate():
+    rules = signature_rules()
+    assert len(rules) > 450 and len({r.regex for r in rules}) == len(rules)
+    for rule, texts in rule_samples(random.Random(11), 60):
+        assert all(re.fullmatch(rule.regex, t) and set(rule.keywords) <= set(t.split()) for t in texts), rule
+
+
+def brute_labels(text, rules):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    line, hits = " " + " ".join(words) + " ", []
+    for r in rules:
+        if set(r.keywords) <= set(words):
+            for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", line):
+                start = line[: m.start()].count(" ") - 1
+                hits.append((start, -(start + m[0].count(" ")), -r.priority, r.label, r.weight))
+    ends, labels, score = [-1] * 4, set(), 0.0
+    for start, end, priority, label, weight in sorted(hits):
+        if -end <= ends[-priority]:
+            continue  # inside one of its own or a higher priority
+        for p in range(-priority + 1):
+            ends[p] = max(ends[p], -end)
+        labels.add(label)
+        score = max(score, weight)
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        if f" {phrase} " in line:
+            labels.add(label)
+            score = max(score, 0.9)
+    return len(words), ",".join(sorted(labels)), score
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [t for _, texts in rule_samples(rng, 2) for t in texts]
+    plain = ["the", "mit", "with", "software", "license", "public", "free", "copyright", "rights", "und"]
+    texts = [" ".join(x for _ in range(rng.randint(1, 8)) for x in (rng.choice(pool), *rng.choices(plain, k=rng.randint(0, 4)))) for _ in range(150)] + ["", None, "MIT License. " * 1500]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows_of(texts), DOCS).repartition(4)).collect()}
+    rules = signature_rules()
+    for i, t in enumerate(texts):
+        n, labels, score_ = brute_labels(t, rules)
+        assert (got[i].n_words, got[i].labels) == (n, labels) and abs(got[i].score - score_) < 1e-9, t
+
+
 # -- html ---------------------------------------------------------------------------------------------------------------
 
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><header><a href=/>Home</a></header><nav><ul><li>Menu</ul></nav>{}<footer>&copy; x</footer></body></html>"
@@ -330,8 +401,8 @@ def test_html_blocks():
 
 def test_common_lines_are_longest():
     rng = random.Random(6)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+    for n, letters in [(9, "abcd")] * 200 + [(70, "ab"), (90, "a"), (60, "abc")] * 5:
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, n))] for _ in range(2))
         length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
@@ -340,6 +411,8 @@ def test_common_lines_are_longest():
         assert len(found) == length[-1][-1]
         it = iter(b)
         assert all(any(a[i] == y for y in it) for i in found)
+    # one line that repeats: neither time nor memory grows with the square
+    assert len(H.common_lines(["x", *["same"] * 20_000], [*["same"] * 20_000, "y"])) == 20_000
 
 
 @pytest.mark.parametrize("range_rows", [2, 3, 1000])
@@ -357,6 +430,27 @@ def test_differencing_removes_what_neighbours_share(spark, range_rows):
     assert H.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [9, 1000])
+def test_differencing_decides_on_marked_pages(spark, range_rows):
+    """A notice in every article goes, a passage that some articles quote stays; mirrors in a row hide neither."""
+    page = "<body><article><h1>Title {0}</h1><div>Subscribe to our letter today</div><p>Story {0} begins and goes on for a while</p>{1}<p>Thanks for reading this page</p></article></body>"
+    quote = "<p>A passage that two articles quote in full</p>"
+    pages = [page.format(i, quote if i in (3, 4) else "") for i in range(12)]
+    urls = [f"http://h.example/a/{i:02d}" for i in range(12)]
+    rows = list(zip(range(12), urls, pages)) + [(100 + i, f"http://h.example/a/06-{i:02d}", pages[6]) for i in range(11)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract_main_text(df, range_rows=range_rows).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i} Story {i} begins and goes on for a while" + (" A passage that two articles quote in full" if i in (3, 4) else ""), i
+    if range_rows == 1000:
+        assert {got[100 + i] for i in range(11)} == {got[6]}
+    alone = {r.page_id: r.text for r in H.extract_main_text(df.where("page_id = 5")).collect()}
+    assert alone[5] == "Title 5 Subscribe to our letter today Story 5 begins and goes on for a while Thanks for reading this page"
+    long = "<body>" + "<div>same line</div>" * 3000 + "<div>" + "own{0} " * 1000 + "</div></body>"
+    df = spark.createDataFrame([(i, f"http://l.example/{i}", long.format(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract_main_text(df).collect()} == {" ".join([f"own{i}"] * 1000) for i in range(3)}
+
+
 # -- urls ---------------------------------------------------------------------------------------------------------------
 
 def test_url_rules(spark):
@@ -374,11 +468,86 @@ def test_url_rules(spark):
 
 def test_templates_generalise_blocked_branches(spark):
     rules = (("h.com", "/spam/1", "block"), ("h.com", "/good/", "allow"))
-    urls = [f"http://h.com/spam/{i}" for i in [*range(100, 160), *range(200, 215)]] + [f"http://h.com/good/{i}" for i in range(60)]
+    urls = [f"http://h.com/spam/{i}" for i in [*range(100, 160), *range(200, 215)]] + [f"http://h.com/good/{i}" for i in range(60)] + ["http://unknown.net/spam/7", "http://unknown.net/good/7"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r.page_id: r for r in url_filter(df, rules=rules).collect()}
     assert all(got[i].verdict == "block" and got[i].rule is None and got[i].template == "/spam/*" for i in range(60, 75))
     assert all(got[i].verdict == "allow" for i in range(75, 135))
+    assert [got[i].verdict for i in (135, 136)] == ["block", "allow"] and got[135].rule is None  # what labels say of a shape holds on hosts without any
+
+
+def brute_templates(urls, rules, min_share, z, strength, reject):
+    """url -> (template, purity): the tree by plain recursion over all pages."""
+    def parts(u):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def label(h, p):
+        fits = [(len(a + b), v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return max(fits)[1] if fits else None
+
+    pages = []
+    for u in urls:
+        h, p = parts(u)
+        pages.append((h, tuple("/#" if re.search("[0-9]", s) else s for s in p.split("/") if s), label(h, p)))
+    tally = lambda rows: (len(rows), sum(r[2] == "block" for r in rows), sum(r[2] == "allow" for r in rows))
+    _, bad, good = tally(pages)
+    share = bad / max(1, bad + good)
+    prior = {}
+    for shape in {p[1] for p in pages}:
+        _, b, g = tally([p for p in pages if p[1] == shape])
+        prior[shape] = (b + strength * share) / (b + g + strength)
+    template = {}
+
+    def grow(groups, k):
+        """groups: template so far -> pages; a node is all pages of one template."""
+        for name, rows in groups.items():
+            n, b, g = tally(rows)
+            by = defaultdict(list)
+            for r in rows:
+                by[r[1][k] if k < len(r[1]) else ""].append(r)
+            after = defaultdict(list)
+            for seg, own in by.items():
+                m, x, y = tally(own)
+                rate = b / (b + g) if b + g else None
+                spread = (rate * (1 - rate) / (x + y)) ** 0.5 if x + y and rate is not None else 0
+                alike = not spread or abs(x / (x + y) - rate) / spread < z
+                variable = seg == "/#" or m < n * min_share
+                part = "" if seg == "" else "/*" if variable and alike else "/~" if alike and x + y else seg if seg == "/#" else "/" + seg
+                after[name + part] += own
+            for t, own in after.items():
+                if max(len(r[1]) for r in own) > k + 1:
+                    grow({t: own}, k + 1)
+                else:
+                    for r in own:
+                        template[r[:2]] = t
+
+    for host in {p[0] for p in pages}:
+        grow({"": [p for p in pages if p[0] == host]}, 0)
+    out = {}
+    for u, (h, shape, _) in zip(urls, pages):
+        t = template[h, shape]
+        own = [p for p in pages if p[0] == h and template[p[:2]] == t]
+        _, b, g = tally(own)
+        mean = sum(prior[p[1]] for p in own) / len(own)
+        out[u] = (t, round((b + strength * mean) / (b + g + strength), 6))
+    return out
+
+
+def test_template_tree_against_brute_force(spark):
+    rng = random.Random(10)
+    rules = (("a.com", "/x/", "block"), ("a.com", "/q/", "block"), ("a.com", "/y/k/", "allow"), ("b.org", "/", "allow"), ("b.org", "/x/7", "block"))
+    urls = sorted({f"http://{rng.choice(['a.com', 'b.org', 'www.b.org', 'c.net', 'big.net', 'big.net'])}" + "".join("/" + rng.choice(["x", "y", "k", "m", str(rng.randint(1, 99)), "v7", "rare" + rng.choice("abcdefgh")]) for _ in range(rng.randint(0, 4))) for _ in range(400)})
+    urls += ["http://c.net/" + "/".join(f"s{'abc'[i % 3]}" for i in range(300)), None, "none", "http://c.net/", *[f"http://{h}/q/{i}" for h in ("a.com", "c.net") for i in range(30)]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(9999, urls[0])], "page_id long, url string").repartition(3)
+    want = brute_templates([*urls, urls[0]], rules, 0.05, 1.96, 4.0, 0.6)
+    got = url_filter(df, rules=rules, min_share=0.05, reject=0.6).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        u = urls[0] if r.page_id == 9999 else urls[r.page_id]
+        assert r.template == want[u][0] and abs(r.purity - want[u][1]) < 2e-6, (u, r, want[u])
+        assert r.rule is not None or r.verdict == ("block" if r.purity >= 0.6 else "allow")
+    assert {r.verdict for r in got if r.rule is None} == {"block", "allow"}
 
 
 # -- learned operators --------------------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Licence statements by ordered signature rules, in DataFrame operations only.
 
-A text is reduced to its words, one space between them. A keyword prefilter decides whether any rule can apply at all; a
-rule runs only where all of its keywords are among the text's words. Rules have a priority; a detection is suppressed
+A text is reduced to its words, one space between them. A keyword prefilter decides whether any rule can apply at all. Rules
+are grouped by their first keyword; a group is looked at where its keyword is among the text's words and its regexes, as one
+literal pattern that is compiled once, match somewhere; then each of its rules runs whose keywords are all there. Rules have a priority; a detection is suppressed
 where one of the same or a higher priority that comes earlier in order of (start, longest first, priority) contains its
 interval. What is left gives the labels.
 
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.license_rules import signatures
 from weft.llm.text import LOWER, UPPER, text_or_empty
 
 #: Fixed by the contract: phrase and label.
@@ -37,7 +39,7 @@ FAMILIES = (
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e(?: version)? 1 1"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e"),
     ("mit", "mit", r"mit(?: x11)? licen[sc]e|mit licensed"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|2 clause|two clause) bsd|bsd (?:2|two) clause|freebsd licen[sc]e"),
+    ("bsd-2-clause", "bsd", r"(?:simplified|2 clause|two clause) bsd|bsd (?:2|two) clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd (?:3|three) clause"),
     ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
@@ -115,13 +117,14 @@ NOTICES = (
     ("copyright", ("copyright",), r"copyright (?:notice|holders?|owners?)", 0, 0.4),
     ("terms-of-use", ("terms",), r"terms (?:of (?:use|service)|and conditions of use)", 0, 0.3),
     ("attribution", ("attribution",), r"with (?:proper |appropriate )?attribution", 0, 0.3),
-    ("non-commercial", ("commercial",), r"(?:for )?non ?commercial (?:use|purposes) only", 1, 0.6),
+    ("non-commercial", ("commercial", "non"), r"(?:for )?non commercial (?:use|purposes) only", 1, 0.6),
+    ("non-commercial", ("noncommercial",), r"(?:for )?noncommercial (?:use|purposes) only", 1, 0.6),
     ("open-access", ("access",), r"open access article (?:distributed|published) under", 1, 0.6),
 )
 
 
 def signature_rules() -> list[Rule]:
-    """The default rules, in order: base phrases, Creative Commons codes, families by statement, GPL forms, notices."""
+    """The default rules, in order: base phrases, Creative Commons codes, families by statement, GPL forms, notices, signatures of texts."""
     rules = [Rule(label, phrase, tuple(sorted(phrase.split(), key=len, reverse=True)), 1, 0.9) for phrase, label in BASE]
     for code in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"):  # every code with every version, and without
         names = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s(?: works)?", "nc": "non ?commercial"}
@@ -141,7 +144,8 @@ def signature_rules() -> list[Rule]:
         for n in ("1", "2", "3"):
             for form, tail in (("only", " only"), ("or-later", r"(?: of the licen[sc]e)? or (?:at your option )?any later version"), ("or-later", " or later")):
                 rules.append(Rule(f"{label}-{n}-{form}", rf"(?:gnu )?{name}(?: version)? v?{n}(?: [01])?{tail}", (keyword, "public"), 3, 1.0))
-    return rules + [Rule(label, regex, words, priority, weight) for label, words, regex, priority, weight in NOTICES]
+    rules += [Rule(label, regex, words, priority, weight) for label, words, regex, priority, weight in NOTICES]
+    return rules + [Rule(label, regex, words, priority, weight) for label, words, regex, priority, weight in signatures()]
 
 
 def _spaces(s: Column) -> Column:
@@ -176,17 +180,21 @@ def _rules_array(rules: list[Rule]) -> str:
     ) + ")"
 
 
+HIT = "struct<s: bigint, neg: bigint, pri: int, label: string, w: double>"
+#: Detections are gathered in blocks of so many: appending to one long array would copy it for every detection.
+BLOCK = 512
 #: All detections of one rule: start and last word, from the pieces between its matches (the last piece has no match).
-_PLACES = """
+_PLACES = f"""
 aggregate(zip_with(split(_w, r.re, -1), regexp_extract_all(_w, r.re, 0), (p, m) -> struct(p, m)),
-  struct(-1L as at, cast(array() as array<struct<s: bigint, neg: bigint, pri: int, label: string, w: double>>) as hits),
+  struct(-1L as at, cast(array() as array<{HIT}>) as hits, cast(array() as array<array<{HIT}>>) as full),
   (a, x) -> if(x.m is null, a, struct(
     a.at + octet_length(x.p) - octet_length(replace(x.p, ' ', '')) + octet_length(x.m) - octet_length(replace(x.m, ' ', '')) as at,
-    concat(a.hits, array(struct(
+    concat(if(size(a.hits) = {BLOCK}, cast(array() as array<{HIT}>), a.hits), array(struct(
       a.at + octet_length(x.p) - octet_length(replace(x.p, ' ', '')) as s,
       -(a.at + octet_length(x.p) - octet_length(replace(x.p, ' ', '')) + octet_length(x.m) - octet_length(replace(x.m, ' ', ''))) as neg,
-      -r.pri as pri, r.label as label, r.w as w))) as hits)),
-  a -> a.hits)
+      -r.pri as pri, r.label as label, r.w as w))) as hits,
+    if(size(a.hits) = {BLOCK}, concat(a.full, array(a.hits)), a.full) as full)),
+  a -> concat(flatten(a.full), a.hits))
 """
 #: Sweep in order of start, longest first, highest priority first; e0 to e3: the furthest end so far by priority or above.
 _SWEEP = """
@@ -221,8 +229,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.lit(label).alias("label"),
         )
         base.append(F.when(F.contains("_w", F.lit(f" {phrase} ")), found))
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.keywords[0], []).append(r)
+    # one literal pattern a group; the rules of a group that matches nowhere are never compiled
+    chosen = ", ".join(
+        f"if(array_contains(k, {_quoted(word)}) and rlike(_w, {_quoted(' (?:' + '|'.join(r.regex for r in own) + ') ')}), {_rules_array(own)}, null)" for word, own in groups.items()
+    )
+    candidates = f"flatten(filter(array({chosen}), g -> g is not null))"
     hits = f"""array_sort(flatten(transform(
-        filter({_rules_array(rules)}, r -> size(array_except(r.kw, k)) = 0 and rlike(_w, r.re)), r -> {_PLACES})))"""
+        filter({candidates}, r -> size(array_except(r.kw, k)) = 0 and rlike(_w, r.re)), r -> {_PLACES})))"""
     # k is bound once a row: a column would be evaluated anew for every rule
     known = f"array_intersect(array({', '.join(map(_quoted, keywords))}), split(_w, ' '))"
     found = f"transform(array({known}), k -> {_SWEEP.format(hits=hits)})[0]"
