@@ -405,8 +405,8 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("key", "root", "n", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _common_shingles(texts: DataFrame, width: int, sample_rows: int = 4000, keep: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and ranks of shingles that many texts (_own, _text) have, from a sample of the texts; ``keep`` at most.
+def _common_shingles(texts: DataFrame, width: int, one_in: int = 10, least_rows: int = 4000, keep: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and ranks of shingles that many texts (_own, _text) have, from a sample of the texts (one in ``one_in``, about ``least_rows`` if there are fewer); ``keep`` at most.
 
     Only the order of shingles depends on them, and with it how many candidates there are, not which pairs are found.
     """
@@ -416,8 +416,8 @@ def _common_shingles(texts: DataFrame, width: int, sample_rows: int = 4000, keep
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(x.as_py(), width).view(np.int64))], ["hash"])
 
-    rows = texts.count()
-    sample = texts.where(F.pmod(F.xxhash64("_own"), F.lit(max(1, rows // sample_rows))) == 0).select("_text")
+    part = min(one_in, max(1, texts.count() // least_rows))
+    sample = texts.where(F.pmod(F.xxhash64("_own"), F.lit(part)) == 0).select("_text")
     got = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").orderBy(F.desc("c"), "hash").limit(keep).toPandas()
     hashes = got["hash"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -441,7 +441,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own_text = F.concat(F.unhex(F.sha2(text, 256)), F.encode(F.octet_length(text).cast("string"), "UTF-8"))
     marked = docs.select(F.col(id_col).alias("_id"), own_text.alias("_own"), text.alias("_text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 50,000 hashes and ranks at most
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 200,000 hashes and ranks at most
 
     def prefixes(batches):
         for batch in batches:
@@ -466,21 +466,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         members = copies.select(F.coalesce("key", "row").alias("key"), "own", "id")
         points = materialize(rows.join(texts.select(F.col("key").alias("row")), "row", "left_semi").withColumnRenamed("row", "key"), "points")
 
-    sigs = points.select("key", F.explode("sigs").alias("sig"))
-    shared = materialize(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "signatures")
-    cells = sigs.join(shared, "sig").withColumn("nb", F.ceil(F.col("c") / block_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    cells = cells.select("key", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    cells = materialize(cells.select("key", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y")), "cells")
-
     def verify(batches):
         for batch in batches:
-            keep, last, left = [], None, frozenset()
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != last:
-                    last, left = x, _shingles(x, verify_width)
-                right = _shingles(y, verify_width)
-                both = len(left & right)
-                keep.append(both >= similarity * (len(left) + len(right) - both))
+            keep, held = [], {}
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.as_py(), y.as_py()
+                held = {t: held[t] if t in held else _shingles(t, verify_width) for t in (x, y)}  # the pair before often has one of them
+                both = len(held[x] & held[y])
+                keep.append(both >= similarity * (len(held[x]) + len(held[y]) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     most = (1 - similarity) / (1 + similarity)
@@ -500,6 +493,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         wanted = marked.select("_own", "_text").join(sized(named, broadcast_rows), "_own").select("key", "_text")
         wanted = materialize(wanted if repeated.isEmpty() else wanted.dropDuplicates(["key"]), "texts")
         both = candidates.join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
+        both = both.repartition(max(1, candidates.count() // 250), "a").sortWithinPartitions("a")  # comparing takes longer than reading
         return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
     prints = points.select("key", "fp")
@@ -507,9 +501,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = verified(materialize(near, "candidates"))
     joined = materialize(connected_components(linked), "roots")
-    sets = points.select("key", "n", "sketch")
-    rooted = sets.join(joined, sets["key"] == joined["node"], "left").select("key", "n", "sketch", F.coalesce("root", "key").alias("root"))
-    rest = materialize(_candidates(cells.join(rooted, "key"), similarity), "candidates")
+    # of shingles that several texts have first, only those are left that texts of two groups have
+    named = points.select("key", "sigs").join(sized(joined, broadcast_rows), F.col("key") == F.col("node"), "left")
+    sigs = named.select("key", F.coalesce("root", "key").alias("root"), F.explode("sigs").alias("sig"))
+    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    shared = materialize(shared.select("sig", F.ceil(F.col("c") / block_rows).cast("int").alias("nb")), "signatures")
+    cells = sigs.join(sized(shared, broadcast_rows), "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    cells = cells.select("key", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    cells = cells.select("key", "root", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
+    rest = materialize(_candidates(materialize(cells, "cells").join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
     roots = connected_components(linked.unionByName(verified(rest)))
     grouped = members.join(roots, members["key"] == roots["node"]).select("own", "id", "root") if repeated.isEmpty() else members.join(roots, members["key"] == roots["node"], "left").select("own", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
