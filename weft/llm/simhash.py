@@ -405,7 +405,7 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("key", "root", "n", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _common_shingles(texts: DataFrame, width: int, one_in: int = 10, least_rows: int = 4000, keep: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(texts: DataFrame, width: int, one_in: int = 20, least_rows: int = 4000, keep: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and ranks of shingles that many texts (_own, _text) have, from a sample of the texts (one in ``one_in``, about ``least_rows`` if there are fewer); ``keep`` at most.
 
     Only the order of shingles depends on them, and with it how many candidates there are, not which pairs are found.
@@ -424,7 +424,7 @@ def _common_shingles(texts: DataFrame, width: int, one_in: int = 10, least_rows:
     return hashes[order], len(hashes) - order  # the most frequent last
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify_width: int = 5, similarity: float = 0.8, distance: int = 6, block_rows: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify_width: int = 5, similarity: float = 0.8, distance: int = 10, block_rows: int = 1024, broadcast_rows: int = 100_000, forest_rounds: int = 1) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each group of near copies, that with the smallest identifier.
 
     Two texts are linked if the Jaccard similarity of their ``verify_width``-word shingles, computed on the whole texts, is
@@ -432,8 +432,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fingerprints of these shingles within ``distance`` bits (a forest, as ``links`` gives it), which joins most copies. Near
     texts can lie further apart in bits, so the second round finds every other pair (but for collisions of 64-bit hashes):
     similar texts share one of the first shingles of each in an order of all shingles, rare ones first, and their parity
-    sketches differ in no more bits than similar sets can in elements. It verifies each pair whose ends are still apart, so
-    the result depends neither on ``distance`` nor on how rows are dealt.
+    sketches differ in no more bits than similar sets can in elements. Each text's nearest pair is verified first, in
+    ``forest_rounds`` rounds, and then every pair whose ends are still apart, so the result depends neither on ``distance``
+    nor on how rows are dealt.
 
     Equal texts are told by SHA-256 and length. Rows that repeat the identifier and text that stays, stay with it; if all
     identifiers of a group are null, all its rows stay.
@@ -481,25 +482,28 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def possible(batches):
         for batch in batches:
             columns = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
-            keep = [_least_difference(x, y) <= most * (n + m) + 1e-6 for n, x, m, y in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            far = [(_least_difference(x, y) / max(1, n + m), n + m) for n, x, m, y in columns]
+            keep = [d * size <= most * size + 1e-6 for d, size in far]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d for d, _ in far], pa.float64())], ["a", "b", "far"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(candidates):
+    def possible_pairs(candidates):
+        """(a, b, far): the pairs whose wide sketches allow the similarity, and the least part of their elements that differs."""
         wide = points.select("key", "n", "wide")
         candidates = candidates.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-        candidates = materialize(candidates.mapInArrow(possible, "a long, b long"), "possible")
-        ends = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+        return materialize(candidates.mapInArrow(possible, "a long, b long, far double"), "possible")
+
+    def verified(pairs):
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         named = materialize(points.select("key", F.col("own").alias("_own")).join(sized(ends, broadcast_rows), "key", "left_semi"), "ends")
         wanted = marked.select("_own", "_text").join(sized(named, broadcast_rows), "_own").select("key", "_text")
         wanted = materialize(wanted if repeated.isEmpty() else wanted.dropDuplicates(["key"]), "texts")
-        both = candidates.join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
-        both = both.repartition(max(1, candidates.count() // 250), "a").sortWithinPartitions("a")  # comparing takes longer than reading
+        both = pairs.select("a", "b").join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
     prints = points.select("key", "fp")
     near = links(prints, distance, plan(prints, distance))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = verified(materialize(near, "candidates"))
+    linked = verified(possible_pairs(materialize(near, "candidates")))
     joined = materialize(connected_components(linked), "roots")
     # of shingles that several texts have first, only those are left that texts of two groups have
     named = points.select("key", "sigs").join(sized(joined, broadcast_rows), F.col("key") == F.col("node"), "left")
@@ -510,7 +514,22 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = cells.select("key", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     cells = cells.select("key", "root", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
     rest = materialize(_candidates(materialize(cells, "cells").join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
-    roots = connected_components(linked.unionByName(verified(rest)))
+    rest, roots = possible_pairs(rest), joined
+    for last in (False,) * forest_rounds + (True,):
+        ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")) for e in "ab"]
+        rest = rest.join(sized(ends[0], broadcast_rows), "a", "left").join(sized(ends[1], broadcast_rows), "b", "left")
+        rest = materialize(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "far"), "apart")
+        if rest.isEmpty():
+            break
+        if last:
+            chosen = rest
+        else:
+            # the nearest pair of every text: at most a pair a text, and they join most groups whole
+            ways = rest.select(F.col("a").alias("v"), "far", "a", "b").unionByName(rest.select(F.col("b").alias("v"), "far", "a", "b"))
+            chosen = materialize(ways.groupBy("v").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
+        linked = linked.unionByName(verified(chosen))
+        roots = materialize(connected_components(linked), "roots")
+        rest = rest.join(sized(chosen.select("a", "b"), broadcast_rows), ["a", "b"], "left_anti")
     grouped = members.join(roots, members["key"] == roots["node"]).select("own", "id", "root") if repeated.isEmpty() else members.join(roots, members["key"] == roots["node"], "left").select("own", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
     gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("own").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
