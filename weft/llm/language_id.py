@@ -160,7 +160,8 @@ def predict_languages(docs: DataFrame, model: LanguageFilters, text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # max_slots rows; plain arrays: workers need no copy of this package
 
     def run(batches):
-        for batch in batches:
+        # texts are held for so many rows at once
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             names, scores, shares = [], [np.zeros(0)], [np.zeros(0)]
             for chunk in _chunks(batch.column(0).to_pylist()):
                 got, score, share = predict(*shared.value, chunk)

@@ -286,6 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(linked.unionByName(lone), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def _slices(batches, rows: int):
+    """The batches in pieces of at most ``rows`` rows, so that what is made of a row's text is held for so many at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _shingles(text: str | None, width: int) -> frozenset:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
@@ -445,7 +452,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 200,000 hashes and ranks at most
 
     def prefixes(batches):
-        for batch in batches:
+        for batch in _slices(batches, 500):
             hashes = [_shingle_hashes(x, verify_width) for x in batch.column(2).to_pylist()]
             first = [_prefix(h, *common.value, similarity).view(np.int64) for h in hashes]
             yield pa.RecordBatch.from_arrays(
@@ -468,7 +475,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         points = materialize(rows.join(texts.select(F.col("key").alias("row")), "row", "left_semi").withColumnRenamed("row", "key"), "points")
 
     def verify(batches):
-        for batch in batches:
+        for batch in _slices(batches, 200):
             keep, held = [], {}
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = x.as_py(), y.as_py()
@@ -480,7 +487,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     most = (1 - similarity) / (1 + similarity)
 
     def possible(batches):
-        for batch in batches:
+        for batch in _slices(batches, 500):
             columns = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
             far = [(_least_difference(x, y) / max(1, n + m), n + m) for n, x, m, y in columns]
             keep = [d * size <= most * size + 1e-6 for d, size in far]
@@ -513,7 +520,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = sigs.join(sized(shared, broadcast_rows), "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     cells = cells.select("key", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     cells = cells.select("key", "root", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
-    rest = materialize(_candidates(materialize(cells, "cells").join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
+    rest = materialize(_candidates(cells.join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
     rest, roots = possible_pairs(rest), joined
     for last in (False,) * forest_rounds + (True,):
         ends = [roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")) for e in "ab"]
