@@ -1,4 +1,4 @@
-"""The query catalogue on a synthetic source tree whose references are known."""
+"""The query catalogue on a small bookshop whose references are known."""
 
 import json
 import random
@@ -8,27 +8,21 @@ import pytest
 from weft.plans.theme import Theme
 
 FILES = {
-    "assets/theme.js": 'class Card extends HTMLElement {}\ncustomElements.define("product-card", Card);\ndocument.querySelector("[data-product-card]");\nwindow.addEventListener("cart:update", () => {});\nwindow.dispatchEvent(new CustomEvent("cart:update"));\n',
-    "assets/theme.css": ":root { --card-gap: 1rem; }\n.product-card[data-product-card] { gap: var(--card-gap); }\n",
-    "blocks/a.liquid": "<b>a</b>", "blocks/b.liquid": "<i>b</i>",
-    "components/c-button.nz.liquid": '{% component snippet %}\n{% props { label: string } %}\n<button>{{ props.label }}</button>',
-    "components/c-card.nz.liquid": '{% component section %}\n{% import CButton from "./c-button.nz.liquid" %}\n{% render CButton { label: "Buy" } %}',
-    "config/settings_schema.json": "[]", "config/settings_data.json": "{}",
-    "layout/theme.liquid": "<html>{% sections 'header-group' %}{% render 'localization-form' %}{{ content_for_layout }}{% section 'footer' %}</html>",
-    "locales/en.default.json": '{"a": {"b": "x", "c": [1]}, "d": {}}', "locales/fr.json": '{"a": {"b": "y"}}',
-    "sections/header-group.json": '{"sections": {"header": {"type": "header"}}}',
-    "sections/header.liquid": "{% render 'search-overlay' %}{% render 'cart-drawer' %}",
-    "sections/footer.liquid": "<footer></footer>", "sections/hero.liquid": "<h1>{{ section.settings.title }}</h1>{% schema %}{\"settings\": [{\"id\": \"title\", \"type\": \"text\"}]}{% endschema %}",
-    "sections/main-product.liquid": "{% render 'product-gallery' %}{% render 'price', product: product %}{% render 'recommendations' %}",
-    "sections/collection-grid.liquid": "{% for product in collection.products %}{% render 'product-card', product: product %}{% endfor %}",
-    "sections/featured-collection.liquid": "{% render 'product-card' %}", "sections/unused-promo.liquid": "{{ section.settings.nothing }}",
-    "snippets/localization-form.liquid": "{% form 'localization' %}{% endform %}", "snippets/search-overlay.liquid": "<dialog></dialog>", "snippets/cart-drawer.liquid": "<aside></aside>",
-    "snippets/product-gallery.liquid": "<img>", "snippets/price.liquid": "{{ product.price | money }}",
-    "snippets/recommendations.liquid": "{% render 'product-card' %}",
-    "snippets/product-card.liquid": '<product-card class="product-card" data-product-card>{% render \'price\', product: product %}<p>{{ product.metafields.custom.subtitle }}</p></product-card>',
-    "snippets/dynamic-host.liquid": "{% render partial %}{% render 'does-not-exist' %}",
-    "templates/collection.json": '{"sections": {"main": {"type": "collection-grid"}}}', "templates/index.json": '{"sections": {"a": {"type": "hero"}, "b": {"type": "featured-collection"}}}',
-    "templates/product.json": '{"sections": {"main": {"type": "main-product"}}}', "templates/search.liquid": "{% render 'search-overlay' %}",
+    "assets/shelf.js": 'class Shelf extends HTMLElement {}\ncustomElements.define("book-shelf", Shelf);\ndocument.querySelector("[data-isbn]");\nwindow.addEventListener("shelf:turn", go);\nwindow.dispatchEvent(new CustomEvent("shelf:turn"));\n',
+    "assets/print.css": ":root { --ink: black; }\n.spine[data-isbn] { color: var(--ink); }\n",
+    "components/stamp.nz.liquid": "{% component snippet %}\n{% props { word: string } %}\n<i>{{ props.word }}</i>",
+    "components/cover.nz.liquid": '{% component section %}\n{% import Stamp from "./stamp.nz.liquid" %}\n{% render Stamp { word: "New" } %}',
+    "layout/book.liquid": "<html>{% sections 'top' %}{% render 'imprint' %}{{ content_for_layout }}</html>",
+    "locales/it.json": '{"shop": {"open": "aperto", "days": [1, 2]}, "none": {}}',
+    "sections/top.json": '{"sections": {"one": {"type": "banner"}}}',
+    "sections/banner.liquid": "{{ section.settings.motto }}{% schema %}{\"settings\": [{\"id\": \"motto\", \"type\": \"text\"}], \"blocks\": [{\"type\": \"quote\"}]}{% endschema %}",
+    "sections/reading.liquid": "{% for volume in collection.volumes %}{% render 'spine', volume: volume %}{% endfor %}{{ section.settings.absent }}",
+    "sections/archive.liquid": "{% render which %}{% render 'lost' %}",
+    "snippets/imprint.liquid": "<p>Printed by hand</p>",
+    "snippets/spine.liquid": "<book-shelf class=\"spine\" data-isbn>{% render 'edition' %}{{ volume.metafields.press.year }}</book-shelf>",
+    "snippets/edition.liquid": "{{ volume.edition }}",
+    "templates/index.json": '{"sections": {"a": {"type": "reading"}, "b": {"type": "banner"}}}',
+    "templates/page.liquid": "{% render 'imprint' %}",
 }
 TEMPLATES = [p for p in FILES if p.startswith("templates/")]
 
@@ -43,49 +37,52 @@ def names(df, column="node"):
 
 
 def test_edges_and_statuses(theme):
-    edges = {(r.src, r.dst) for r in theme.render_edges.collect()}
-    assert theme.render_edges.count() == 19 and theme.dependencies.count() == 20
-    assert ("sections/header-group.json", "sections/header.liquid") in edges and ("layout/theme.liquid", "sections/header-group.json") in edges
-    assert ("components/c-card.nz.liquid", "components/c-button.nz.liquid") in edges
+    edges = {(r.src, r.dst, r.kind) for r in theme.render_edges.collect()}
+    assert edges == {
+        ("layout/book.liquid", "sections/top.json", "section-group"), ("layout/book.liquid", "snippets/imprint.liquid", "snippet"),
+        ("sections/top.json", "sections/banner.liquid", "section"), ("sections/reading.liquid", "snippets/spine.liquid", "snippet"),
+        ("snippets/spine.liquid", "snippets/edition.liquid", "snippet"), ("templates/index.json", "sections/reading.liquid", "section"),
+        ("templates/index.json", "sections/banner.liquid", "section"), ("templates/page.liquid", "snippets/imprint.liquid", "snippet"),
+        ("components/cover.nz.liquid", "components/stamp.nz.liquid", "component-render"),
+    }
+    assert theme.dependencies.count() == len(edges) + 1  # and the import
     status = {r.status: r["count"] for r in theme.resolutions.groupBy("status").count().collect()}
-    assert status == {"resolved": 20, "missing": 1, "dynamic": 1}
-    assert {r.cyclic for r in theme.sccs().collect()} == {False} and theme.sccs().count() == 31
+    assert status == {"resolved": 10, "missing": 1, "dynamic": 1}
+    assert {r.cyclic for r in theme.sccs().collect()} == {False} and theme.sccs().count() == len(FILES)
 
 
 def test_impact_pages_unused(theme):
-    price = "snippets/price.liquid"
-    want = {price, "snippets/product-card.liquid", "snippets/recommendations.liquid", "sections/main-product.liquid", "sections/collection-grid.liquid", "sections/featured-collection.liquid",
-            "templates/product.json", "templates/collection.json", "templates/index.json"}
-    assert names(theme.impact([price])) == want
-    pages = {"templates/collection.json", "templates/index.json", "templates/product.json"}
-    assert names(theme.affected_pages([price])) == pages
-    unused = names(theme.unused_files(["layout/theme.liquid", *TEMPLATES]))
-    assert unused == {p for p in FILES if p.startswith(("assets/", "blocks/", "config/", "locales/"))} | {"components/c-card.nz.liquid", "sections/unused-promo.liquid", "snippets/dynamic-host.liquid"}
-    assert names(theme.metafield_impact("product", "custom", "subtitle")["pages"]) == pages
-    report = theme.file_impact("snippets/dynamic-host.liquid")
+    inner = "snippets/edition.liquid"
+    assert names(theme.impact([inner])) == {inner, "snippets/spine.liquid", "sections/reading.liquid", "templates/index.json"}
+    assert names(theme.affected_pages([inner])) == {"templates/index.json"}
+    assert names(theme.affected_pages(["snippets/imprint.liquid"])) == {"templates/page.liquid"}
+    unused = names(theme.unused_files(["layout/book.liquid", *TEMPLATES]))
+    assert unused == {"assets/shelf.js", "assets/print.css", "components/cover.nz.liquid", "locales/it.json", "sections/archive.liquid"}
+    assert names(theme.metafield_impact("volume", "press", "year")["pages"]) == {"templates/index.json"}
+    report = theme.file_impact("sections/archive.liquid")
     assert report["usage"] == "unused" and report["certainty"] == "partial" and report["issues"] == ["REFERENCE_MISSING"]
-    assert theme.render_tree(["templates/product.json"]).count() == 6
+    assert theme.render_tree(["templates/index.json"]).count() == 5
 
 
 def test_records(theme):
     reads = theme.metafield_reads.collect()
-    assert [(r.path, r.owner_type, r.namespace, r.key, r.dynamic) for r in reads] == [("snippets/product-card.liquid", "product", "custom", "subtitle", False)]
+    assert [(r.path, r.owner_type, r.namespace, r.key, r.dynamic) for r in reads] == [("snippets/spine.liquid", "volume", "press", "year", False)]
     classes = {r.path: r.classes for r in theme.file_classes().collect()}
-    assert classes["snippets/product-card.liquid"] == ["composed", "data-driven", "interactive"] and classes["blocks/a.liquid"] == ["static"]
+    assert classes["snippets/spine.liquid"] == ["composed", "data-driven", "interactive"] and classes["snippets/imprint.liquid"] == ["static"]
+    assert classes["sections/banner.liquid"] == ["configurable"]
     links = {(r.subject, r.name): (r.producers, r.consumers) for r in theme.behavior_connections().collect()}
-    assert links["customElement", "product-card"] == (["assets/theme.js"], ["snippets/product-card.liquid"])
-    assert links["attribute", "data-product-card"] == (["snippets/product-card.liquid"], ["assets/theme.css", "assets/theme.js"])
-    assert links["customEvent", "cart:update"] == (["assets/theme.js"], ["assets/theme.js"]) and links["customProperty", "--card-gap"] == (["assets/theme.css"], ["assets/theme.css"])
-    assert {r.name for r in theme.declarations.where("kind = 'localeKey'").collect()} == {"a.b", "a.c"}
-    issues = {(r.path, r.code) for r in theme.issues.collect()}
-    assert issues == {("snippets/dynamic-host.liquid", "REFERENCE_MISSING"), ("sections/unused-promo.liquid", "UNKNOWN_SETTING")}
+    assert links["customElement", "book-shelf"] == (["assets/shelf.js"], ["snippets/spine.liquid"])
+    assert links["attribute", "data-isbn"] == (["snippets/spine.liquid"], ["assets/print.css", "assets/shelf.js"])
+    assert links["customEvent", "shelf:turn"] == (["assets/shelf.js"], ["assets/shelf.js"]) and links["customProperty", "--ink"] == (["assets/print.css"], ["assets/print.css"])
+    assert {r.name for r in theme.declarations.where("kind = 'localeKey'").collect()} == {"shop.open", "shop.days"}
+    assert {(r.path, r.code) for r in theme.issues.collect()} == {("sections/archive.liquid", "REFERENCE_MISSING"), ("sections/reading.liquid", "UNKNOWN_SETTING")}
 
 
 def test_inspection(theme):
     report = theme.inspection()
     assert report["summary"] == {"unresolvedCount": 2, "brokenMetafieldReadCount": 1, "affectedPageCount": 0}
-    assert len(report["nodes"]) == 31 and len(report["edges"]) == 20
-    assert theme.summary().first().files == 31
+    assert len(report["nodes"]) == len(FILES) and len(report["edges"]) == 10
+    assert theme.summary().first().files == len(FILES)
     with pytest.raises(ValueError):
         theme.behavior_usages("class", "x", "producer", hook="id")
 
@@ -116,8 +113,16 @@ def test_extractors():
     assert json.loads(json.dumps(E.script_facts("fetch(url); el.dataset.fooBar; import('./x.js')")))
 
 
+def test_graphql_owners():
+    from weft.sources import extract as E
+
+    query = """query { companies(first: 3) { nodes { metafield(namespace: "a", key: "b") { value } } }
+      productVariant(id: 1) { metafield(namespace: "c", key: "d") { value } } cart { metafield(namespace: "e", key: "f") { value } } }"""
+    assert [(x["owner"], x["key"]) for x in E.graphql_metafields(query)] == [("company", "b"), ("variant", "d"), ("", "f")]
+
+
 def test_portable_model_and_lock(theme):
     model = theme.portable_model(["templates/index.json"])
-    assert {r.route for r in model["routes"].collect()} == {"/", "/collection", "/product", "/search"}
-    assert model["components"].count() == 7 + 8 + 2 + 2 and model["assets"].count() == 2
-    assert [tuple(r) for r in theme.schema_lock().collect()] == [("sections/hero.liquid", "setting", "title", "text")]
+    assert {r.route for r in model["routes"].collect()} == {"/", "/page"}
+    assert model["components"].count() == 3 + 3 + 2 and model["assets"].count() == 2
+    assert {tuple(r) for r in theme.schema_lock().collect()} == {("sections/banner.liquid", "setting", "motto", "text"), ("sections/banner.liquid", "block", "quote", "quote")}

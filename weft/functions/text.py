@@ -81,3 +81,10 @@ def money(cents: Column, currency: str | None = None) -> Column:
 def utf16_length(text: Column) -> Column:
     """UTF-16 code units: code points beyond the basic plane count twice."""
     return F.octet_length(F.encode(text, "UTF-16BE")) / 2
+
+
+def offset_of(text: Column, line: Column, column: Column) -> Column:
+    """0-based offset of a 1-based line and column; null beyond the last line, and the line's end beyond its columns."""
+    lines = F.split(text, "\n")
+    before = F.aggregate(F.slice(lines, F.lit(1), line - 1), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    return F.when((line >= 1) & (line <= F.size(lines)), before + F.least(column - 1, F.length(F.get(lines, line - 1))))

@@ -54,3 +54,26 @@ def is_hex_color(value: Column) -> Column:
 
 def is_url(value: Column) -> Column:
     return value.rlike(r"^(?:https?://[^\s/]+\S*|/\S*|#\S*|mailto:\S+|tel:\S+)$")
+
+
+#: Field or type name of an API in letters only, and the owner of its metafields.
+GRAPHQL_OWNERS = (
+    ("article", "article"), ("articles", "article"), ("blog", "blog"), ("blogs", "blog"), ("collection", "collection"), ("collections", "collection"),
+    ("company", "company"), ("companies", "company"), ("companylocation", "company_location"), ("companylocations", "company_location"),
+    ("customer", "customer"), ("customers", "customer"), ("location", "location"), ("locations", "location"), ("market", "market"), ("markets", "market"),
+    ("order", "order"), ("orders", "order"), ("page", "page"), ("pages", "page"), ("product", "product"), ("products", "product"),
+    ("productvariant", "variant"), ("productvariants", "variant"), ("shop", "shop"), ("variant", "variant"), ("variants", "variant"),
+)
+
+
+def graphql_owner(name: Column) -> Column:
+    """Owner type of a field or type name, null if it owns no metafields."""
+    letters = F.lower(F.regexp_replace(name, "[^A-Za-z]", ""))
+    return F.create_map(*[F.lit(x) for pair in GRAPHQL_OWNERS for x in pair])[letters]
+
+
+def metafield_identity(value: Column) -> Column:
+    """Struct (owner, namespace, key) of ``owner.namespace.key``: exactly three parts, none blank; else null."""
+    parts = F.transform(F.split(value, r"\."), lambda p: F.trim(p))
+    sound = (F.size(parts) == 3) & F.forall(parts, lambda p: p != "")
+    return F.when(sound, F.struct(parts[0].alias("owner"), parts[1].alias("namespace"), parts[2].alias("key")))

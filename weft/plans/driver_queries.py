@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft.functions import paths as P
 from weft.functions import text as X
 from weft.functions import values as V
-from weft.operators import changes, graph, intervals, reconcile, relate
+from weft.operators import changes, checks, graph, intervals, reconcile, relate
 from weft.session import table as read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,13 +307,16 @@ def affected_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unused_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = fk_nodes(spark, d)
-    return graph.unused(nodes, fk_edges(spark, d), nodes.where("kind = 'order'"))
+    """Nodes that no edge reaches when only urgent orders refer to customers."""
+    nodes, urgent = fk_nodes(spark, d), read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(node("order", "o_orderkey").alias("src"))
+    edges = fk_edges(spark, d)
+    edges = edges.where("src not like 'order:%'").unionByName(edges.join(urgent, "src", "left_semi"))
+    return graph.unused(nodes, edges, nodes.where("kind = 'order'"))
 
 
 @query
 def forward_closure(spark: SparkSession, d: str) -> DataFrame:
-    seeds = read(spark, d, "orders").where("o_orderkey % 50 = 0").select(node("order", "o_orderkey").alias("node"))
+    seeds = read(spark, d, "orders").select(node("order", "o_orderkey").alias("node"))
     return graph.closure(fk_edges(spark, d), seeds).select("node", long("depth").alias("depth"))
 
 
@@ -325,8 +328,10 @@ def render_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cycles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = read(spark, d, "part").where("p_partkey < 90")
-    return p.select(long("p_partkey").alias("node")), p.select(long("p_partkey").alias("src"), long((F.col("p_partkey") * 7 + 3) % 61).alias("dst"))
+    """All parts: cycles of seven neighbours (shorter at the end of the table is none), and an edge out of every third part."""
+    p = read(spark, d, "part").select(long("p_partkey").alias("k"))
+    ring = p.select(F.col("k").alias("src"), F.when(F.col("k") % 7 == 6, F.col("k") - 6).otherwise(F.col("k") + 1).alias("dst"))
+    return p.select(F.col("k").alias("node")), ring.unionByName(p.where("k % 3 = 0").select(F.col("k").alias("src"), (-F.col("k") - 1).alias("dst")))
 
 
 @query
@@ -337,7 +342,7 @@ def scc(spark: SparkSession, d: str) -> DataFrame:
 @query
 def scc_dataflow(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _cycles(spark, d)
-    reads = read(spark, d, "part").where("p_partkey < 90").select(long("p_partkey").alias("node"), F.col("p_brand").alias("read"))
+    reads = read(spark, d, "part").select(long("p_partkey").alias("node"), F.col("p_brand").alias("read"))
     return graph.scc_data_flow(graph.sccs(nodes, edges), reads)
 
 
@@ -503,9 +508,9 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def install_closure(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").where("p_partkey < 200").select(long("p_partkey").alias("k"))
-    deps = p.select(F.col("k").alias("src"), long((F.col("k") * 3 + 1) % 150).alias("dst")).unionByName(p.where("k % 4 = 0").select(F.col("k").alias("src"), long((F.col("k") * 5 + 2) % 200).alias("dst")))
-    return reconcile.install_closure(p.where("k in (151, 173)").select(F.col("k").alias("node")), deps).select("node")
+    p = read(spark, d, "part").select(long("p_partkey").alias("k"))
+    deps = p.select(F.col("k").alias("src"), F.expr("k div 2").alias("dst")).unionByName(p.select(F.col("k").alias("src"), F.expr("k div 3").alias("dst")))
+    return reconcile.install_closure(p.agg(F.max("k").alias("node")), deps).select("node")
 
 
 @query
@@ -552,3 +557,74 @@ def story_defaults(spark: SparkSession, d: str) -> DataFrame:
     kept = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k))
     props = F.map_filter(F.map_concat(kept, own), lambda k, v: v.isNotNull())
     return p.select("p_partkey", F.explode(props).alias("name", "value"))
+
+
+# -- gates, lists, cycles -----------------------------------------------------------------------------------------------
+
+@query
+def severity_gate(spark: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "warning").otherwise("info")
+    return checks.severity_gate(read(spark, d, "events").select("user_id", severity.alias("severity")), "user_id")
+
+
+@query
+def first_per_key(spark: SparkSession, d: str) -> DataFrame:
+    return checks.first_per_key(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber"])
+
+
+@query
+def contract_targets(spark: SparkSession, d: str) -> DataFrame:
+    sites = read(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("site"), F.col("l_partkey").alias("target"))
+    p = read(spark, d, "part")
+    targets = p.select(F.col("p_partkey").alias("target"), F.when(F.col("p_size") < 10, "section").otherwise("snippet").alias("role"))
+    return checks.contract_targets(sites, targets, p.where("p_size < 40").select(F.col("p_partkey").alias("target")))
+
+
+@query
+def migration_problems(spark: SparkSession, d: str) -> DataFrame:
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    op = F.when(k % 5 == 0, "renameSection").when(k % 5 == 1, "renameSetting").when(k % 5 == 2, "removeSetting").when(k % 5 == 3, "renameBlock").otherwise("move")
+    lists = p.select(F.when(k % 11 != 0, F.expr("p_partkey div 2").cast("string")).alias("id"), op.alias("op"), F.when(k % 3 != 0, "a").alias("from"), F.lit("b").alias("to"), F.when(k % 4 != 0, "s").alias("setting"))
+    return checks.migration_problems(lists).select(F.coalesce("id", F.lit("")).alias("id"), "problem")
+
+
+@query
+def snapshot_replace(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select("o_orderkey")
+    return checks.replace_snapshot(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 4 <> 0"), "o_orderkey")
+
+
+@query
+def invalidated(spark: SparkSession, d: str) -> DataFrame:
+    return checks.invalidated(fk_edges(spark, d), _region(spark, d, 0)).select("node", long("depth").alias("depth"))
+
+
+@query
+def import_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return checks.cycle_members(_cycles(spark, d)[1])
+
+
+@query
+def versions_ascending(spark: SparkSession, d: str) -> DataFrame:
+    version = F.concat_ws(".", F.col("p_size"), (F.col("p_partkey") % 13).cast("string"), F.lit("0"))
+    found = checks.versions_ascending(read(spark, d, "part").select("p_brand", version.alias("version")), "p_brand", "version")
+    return found.select("p_brand", F.array_join("versions", ",").alias("versions"))
+
+
+@query
+def linecol_to_offset(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents")
+    return t.select("doc_id", long(X.offset_of(F.col("text"), F.lit(2), F.lit(5))).alias("pos"))
+
+
+@query
+def graphql_owners(spark: SparkSession, d: str) -> DataFrame:
+    names = ["companies", "Company-Location", "productVariant", "cart", "orders", "", "shop", "Pages", "checkout"]
+    k = read(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))  # a fixed list of names
+    return k.select("name", V.graphql_owner(F.col("name")).alias("owner"))
+
+
+@query
+def metafield_identity(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit(" product . "), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")), F.lit("."), F.col("p_name"), F.when(F.col("p_partkey") % 5 == 0, ".more").otherwise(""))
+    return read(spark, d, "part").select("p_partkey", V.metafield_identity(raw).alias("m")).select("p_partkey", "m.owner", "m.namespace", "m.key")

@@ -185,10 +185,13 @@ SQL["affected_pages"] = """
 SELECT 'order:' || o_orderkey AS node FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 3
 """
 
-SQL["unused_nodes"] = f"WITH {_EDGES}, {_NODES} SELECT node FROM n WHERE kind <> 'order' AND node NOT IN (SELECT dst FROM e)"
+SQL["unused_nodes"] = f"""
+WITH {_EDGES}, {_NODES}, u AS (SELECT dst FROM e WHERE src NOT LIKE 'order:%' OR src IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))
+SELECT node FROM n WHERE kind <> 'order' AND node NOT IN (SELECT dst FROM u)
+"""
 
 SQL["forward_closure"] = f"""
-WITH RECURSIVE {_EDGES}, i AS (SELECT 'order:' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 50 = 0
+WITH RECURSIVE {_EDGES}, i AS (SELECT 'order:' || o_orderkey AS node, 0 AS depth FROM orders
   UNION SELECT e.dst, i.depth + 1 FROM i JOIN e ON e.src = i.node)
 SELECT node, depth::BIGINT AS depth FROM i
 """
@@ -199,10 +202,11 @@ WITH RECURSIVE {_EDGES}, i AS (SELECT 'nation:' || n_nationkey AS root, 'nation:
 SELECT root, count(*) AS nodes, max(depth)::BIGINT AS depth FROM i GROUP BY root
 """
 
-_SCC = """e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 61 AS dst FROM part WHERE p_partkey < 90),
+_SCC = """e AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 7 = 6 THEN p_partkey - 6 ELSE p_partkey + 1 END AS dst FROM part
+  UNION ALL SELECT p_partkey, -p_partkey - 1 FROM part WHERE p_partkey % 3 = 0),
 p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON e.src = p.dst),
 m AS (SELECT a.src AS node, min(a.dst) AS scc FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
-s AS (SELECT p_partkey AS node, coalesce(scc, p_partkey)::BIGINT AS scc, scc IS NOT NULL AS on_cycle FROM part LEFT JOIN m ON node = p_partkey WHERE p_partkey < 90)"""
+s AS (SELECT p_partkey AS node, coalesce(scc, p_partkey)::BIGINT AS scc, scc IS NOT NULL AS on_cycle FROM part LEFT JOIN m ON node = p_partkey)"""
 
 SQL["scc"] = f"""
 WITH RECURSIVE {_SCC} SELECT node, scc, count(*) OVER (PARTITION BY scc) AS size, bool_or(on_cycle) OVER (PARTITION BY scc) AS cyclic FROM s
@@ -338,9 +342,8 @@ UNION ALL SELECT l_orderkey, l_linenumber, min(-l_partkey) FROM lineitem WHERE l
 """
 
 SQL["install_closure"] = """
-WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 150 AS dst FROM part WHERE p_partkey < 200
-  UNION ALL SELECT p_partkey, (p_partkey * 5 + 2) % 200 FROM part WHERE p_partkey < 200 AND p_partkey % 4 = 0),
-c AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (151, 173) UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part),
+c AS (SELECT max(p_partkey) AS node FROM part UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
 SELECT node FROM c
 """
 
@@ -367,3 +370,59 @@ SQL["story_defaults"] = """
 SELECT p_partkey, 'tone' AS name, 'plain' AS value FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part
 UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part WHERE p_size > 25
 """
+
+SQL["severity_gate"] = """
+SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS warnings,
+  count(*) FILTER (WHERE event_type = 'error') = 0 AS can_emit FROM events GROUP BY user_id
+"""
+
+SQL["first_per_key"] = """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1
+"""
+
+SQL["contract_targets"] = """
+SELECT l_orderkey || ':' || l_linenumber AS site, l_partkey AS target, CASE WHEN p_size < 10 THEN 'TARGET_NOT_SNIPPET' ELSE 'CONTRACT_UNRESOLVED' END AS code
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10 OR p_size >= 40
+"""
+
+SQL["migration_problems"] = """
+WITH m AS (SELECT CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey // 2)::VARCHAR END AS id, p_partkey AS k FROM part)
+SELECT coalesce(id, '') AS id, CASE WHEN id IS NULL THEN 'no-id' WHEN k % 5 = 4 THEN 'unknown-op' ELSE 'missing-field' END AS problem FROM m
+WHERE id IS NULL OR k % 5 = 4 OR (k % 5 IN (0, 1, 3) AND k % 3 = 0) OR (k % 5 = 2 AND k % 4 = 0)
+UNION ALL SELECT id, 'duplicate-id' FROM m WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+"""
+
+SQL["snapshot_replace"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS step, CASE WHEN o_orderkey % 4 = 0 THEN 'remove' ELSE 'update' END AS change
+FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 3 <> 0
+"""
+
+SQL["invalidated"] = f"""
+WITH RECURSIVE {_EDGES}, i AS (SELECT 'region:0' AS node, 0 AS depth UNION SELECT e.src, i.depth + 1 FROM i JOIN e ON e.dst = i.node)
+SELECT node, depth::BIGINT AS depth FROM i WHERE depth > 0
+"""
+
+SQL["import_cycles"] = """
+SELECT p_partkey AS node, p_partkey - p_partkey % 7 AS cycle FROM part WHERE (SELECT max(p_partkey) FROM part) >= p_partkey - p_partkey % 7 + 6
+"""
+
+SQL["versions_ascending"] = """
+WITH v AS (SELECT DISTINCT p_brand, p_size AS a, p_partkey % 13 AS b FROM part)
+SELECT p_brand, string_agg(a || '.' || b || '.0', ',' ORDER BY a, b) AS versions FROM v GROUP BY p_brand
+"""
+
+SQL["linecol_to_offset"] = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) >= 2 THEN length(l[1]) + 1 + least(4, length(l[2])) END AS pos FROM l
+"""
+
+SQL["graphql_owners"] = """
+SELECT * FROM (VALUES ('companies', 'company'), ('Company-Location', 'company_location'), ('productVariant', 'variant'), ('cart', NULL), ('orders', 'order'),
+  ('', NULL), ('shop', 'shop'), ('Pages', 'page'), ('checkout', NULL)) AS t(name, owner)
+"""
+
+SQL["metafield_identity"] = """
+SELECT p_partkey, CASE WHEN ok THEN 'product' END AS owner, CASE WHEN ok THEN p_brand END AS namespace, CASE WHEN ok THEN trim(p_name) END AS key
+FROM (SELECT *, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_name NOT LIKE '%.%' AND p_brand NOT LIKE '%.%' AS ok FROM part)
+"""

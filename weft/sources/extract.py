@@ -12,6 +12,8 @@ import json
 import re
 from collections.abc import Iterator
 
+from weft.functions.values import GRAPHQL_OWNERS
+
 Fact = tuple[str, int, int, dict]
 
 TAG = re.compile(r"\{%-?\s*(?P<tag>.*?)\s*-?%\}|\{\{-?\s*(?P<out>.*?)\s*-?\}\}", re.S)
@@ -229,8 +231,12 @@ def script_facts(source: str) -> list[Fact]:
 TRANSPARENT = {"edges", "node", "nodes"}
 
 
+def _owner(name: str) -> str:
+    return dict(GRAPHQL_OWNERS).get(re.sub("[^a-z]", "", name.lower()), "")
+
+
 def graphql_metafields(query: str) -> list[dict]:
-    """Metafields that a query reads, with the owner of the selection around them; fragments are followed once."""
+    """Metafields that a query reads, with the owner of the selection around them, empty where a field has none; fragments are followed once."""
     token = re.compile(r"\.\.\.|[A-Za-z_]\w*|\"(?:[^\"\\]|\\.)*\"|[{}():,!$@\[\]=]|\d+|\S")
     words = token.findall(re.sub(r"#[^\n]*", "", query))
     fragments: dict[str, tuple[str, int]] = {}
@@ -256,11 +262,11 @@ def graphql_metafields(query: str) -> list[dict]:
         while i < len(words) and words[i] != "}":
             if words[i] == "...":
                 if i + 2 < len(words) and words[i + 1] == "on":
-                    i = selection(words.index("{", i), words[i + 2].lower(), seen)
+                    i = selection(words.index("{", i), _owner(words[i + 2]), seen)
                 else:
                     name = words[i + 1] if i + 1 < len(words) else ""
                     if name in fragments and name not in seen:
-                        selection(fragments[name][1], fragments[name][0].lower(), seen | {name})
+                        selection(fragments[name][1], _owner(fragments[name][0]), seen | {name})
                     i += 2
                 continue
             field, i = words[i], i + 1
@@ -272,7 +278,7 @@ def graphql_metafields(query: str) -> list[dict]:
             if field == "metafield" and "namespace" in given and "key" in given:
                 found.append({"owner": owner, "namespace": given["namespace"], "key": given["key"]})
             if i < len(words) and words[i] == "{":
-                i = selection(i, owner if field in TRANSPARENT else re.sub(r"s$", "", re.sub("[^a-z]", "", field.lower())), seen)
+                i = selection(i, _owner(field) or (owner if field in TRANSPARENT else ""), seen)
         return i + 1
 
     i = 0
