@@ -136,23 +136,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return NeighbourModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), None, None, None, neighbours, prior)
     order = np.lexsort([[len(t) for t in got["terms"]], [float(f.sum()) for f in got["freq"]], y])  # whatever order the rows came in
     got, y, weights = got.iloc[order], y[order], weights[order]
-    x = np.zeros((len(got), TERMS), np.float32)
+    # only terms that occur have a column
+    used = np.unique(np.concatenate(list(got["terms"])))
+    x = np.zeros((len(got), len(used)), np.float32)
     for i, (terms, freq) in enumerate(zip(got["terms"], got["freq"])):
-        x[i, terms] = np.log1p(1000 * freq)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.2
-    x *= idf.astype(np.float32)
-    used = np.flatnonzero(x.any(axis=0))
+        x[i, np.searchsorted(used, terms)] = np.log1p(1000 * freq)
+    idf = np.full(TERMS, np.log(1 + len(x)) + 0.2)
+    idf[used] = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 0.2
+    x *= idf[used].astype(np.float32)
     # leading right singular vectors by the smaller of the two Gram matrices
-    dense = x[:, used]
-    if len(used) <= len(dense):
-        vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))[1][:, ::-1][:, :dimensions]
+    if len(used) <= len(x):
+        vectors = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dimensions]
     else:
-        values, left = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+        values, left = np.linalg.eigh(x @ x.T)
         values, left = values[::-1][:dimensions], left[:, ::-1][:, :dimensions]
-        vectors = dense.T @ left.astype(np.float32) / np.sqrt(np.maximum(values, 1e-9))
+        vectors = x.T @ left / np.sqrt(np.maximum(values, 1e-9))
     projection = np.zeros((TERMS, vectors.shape[1]), np.float32)
     projection[used] = vectors
-    latent = x @ projection
+    latent = x @ projection[used]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return NeighbourModel(idf, projection, latent, y, weights, neighbours, prior)
 
