@@ -116,3 +116,48 @@ def local_module_path(from_path: Column, name: Column) -> Column:
     bare = F.regexp_replace(name, "[?#].*$", "")
     found = F.when(bare.startswith("/assets/"), F.substring(bare, 2, 1_000_000)).when(is_relative_specifier(bare), resolve_import(from_path, bare))
     return F.when(found.startswith("assets/"), found)
+
+
+#: Why a dependency's name is refused, in the order of the tests.
+NAME_REASONS = (
+    "must be a non-empty trimmed name",
+    "must not contain traversal or absolute paths",
+    "must not contain path separators",
+    "must omit theme file extensions",
+)
+
+#: Kind of dependency, folder and extension of its file.
+DEPENDENCY_FILES = (("snippet", "snippets/", ".liquid"), ("section", "sections/", ".liquid"), ("section-group", "sections/", ".json"))
+
+
+def dependency_name_problem(kind: Column, name: Column) -> Column:
+    """Why ``name`` cannot name a dependency of ``kind``, null if it can. A layout may be ``none``."""
+    untrimmed, outside, separator, extension = NAME_REASONS
+    return (
+        F.when((kind == "layout") & (name == "none"), F.lit(None).cast("string"))
+        .when((name == "") | name.rlike(r"^\s|\s\z"), untrimmed)
+        .when(name.startswith("/") | name.contains(".."), outside)
+        .when(name.rlike(r"[\\/]"), separator)
+        .when(name.rlike(r"(?i)\.(liquid|json)\z"), extension)
+    )
+
+
+def dependency_path(kind: Column, name: Column) -> Column:
+    """The file that a dependency names, null for the layout ``none``."""
+    file = F.when((kind == "layout") & (name == "none"), F.lit(None).cast("string"))
+    for k, folder, extension in DEPENDENCY_FILES:
+        file = file.when(kind == k, F.concat(F.lit(folder), name, F.lit(extension)))
+    return file.otherwise(F.concat(F.lit("layout/"), name, F.lit(".liquid")))
+
+
+def is_merchant_data(path: Column) -> Column:
+    """Files that the merchant's editor writes: settings data, templates and section groups as JSON."""
+    return (path == "config/settings_data.json") | path.rlike(r"^templates/.+\.json\z") | path.rlike(r"^sections/[^/]+\.json\z")
+
+
+def is_storefront_locale(path: Column) -> Column:
+    return path.rlike(r"^locales/[^/]+\.json\z") & ~path.endswith(".schema.json")
+
+
+def is_merchant_owned(path: Column) -> Column:
+    return is_merchant_data(path) | is_storefront_locale(path)

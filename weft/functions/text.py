@@ -88,3 +88,42 @@ def offset_of(text: Column, line: Column, column: Column) -> Column:
     lines = F.split(text, "\n")
     before = F.aggregate(F.slice(lines, F.lit(1), line - 1), F.lit(0), lambda a, x: a + F.length(x) + 1)
     return F.when((line >= 1) & (line <= F.size(lines)), before + F.least(column - 1, F.length(F.get(lines, line - 1))))
+
+
+def edited(text: Column, start: Column, end: Column, new: Column) -> Column:
+    """The text with its characters from ``start`` to before ``end`` (from 0) replaced by ``new``."""
+    return F.concat(F.substring(text, F.lit(1), start), new, F.substring(text, end + 1, F.length(text)))
+
+
+def moved_range(start: Column, end: Column, edit_start: Column, edit_end: Column, added: Column) -> tuple[Column, Column]:
+    """Where a range lies after an edit that put ``added`` characters in place of edit_start to edit_end.
+
+    A range before the edit stays, one after it moves along, one that meets it grows to cover what was put in.
+    """
+    by = added - (edit_end - edit_start)
+    first = F.when(end <= edit_start, start).when(start >= edit_end, start + by).otherwise(F.least(start, edit_start))
+    last = F.when(end <= edit_start, end).when(start >= edit_end, end + by).otherwise(F.greatest(edit_start + added, end + by))
+    return first, last
+
+
+def string_literal(value: Column) -> Column:
+    """A template expression for any string: the language has no escape, so double quotes are appended one by one."""
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    parts, mark = F.split(value, '"'), F.lit("append: '\"'")
+    more = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(p == "", F.array(mark)).otherwise(F.array(mark, F.concat(F.lit("append: "), quoted(p)))))
+    return F.array_join(F.concat(F.array(quoted(parts[0])), F.flatten(more)), " | ")
+
+
+def call_argument(name: Column, value: Column, kind: Column) -> Column:
+    """``name: value`` of a render call: numbers and booleans as they are, strings quoted, data by its name; null if unset."""
+    printed = F.when(kind.isin("number", "boolean"), value).when(kind == "string", F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(name)
+    return F.when(value.isNotNull(), F.concat(name, F.lit(": "), printed))
+
+
+def render_call(name: Column, arguments: Column, line: int = 72) -> Column:
+    """The tag that renders a snippet; ``arguments`` (array) stand on one line if it is no longer than ``line``, else on one each."""
+    call = F.concat(F.lit("{% render '"), name, F.lit("'"))
+    given = F.filter(arguments, lambda a: a.isNotNull())
+    short = F.concat(call, F.lit(", "), F.array_join(given, ", "), F.lit(" %}"))
+    long = F.concat(call, F.lit(",\n  "), F.array_join(given, ",\n  "), F.lit("\n%}"))
+    return F.when(F.size(given) == 0, F.concat(call, F.lit(" %}"))).when(utf16_length(short) <= line, short).otherwise(long)

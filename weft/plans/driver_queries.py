@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from weft.functions import paths as P
 from weft.functions import text as X
+from weft.functions import type_expressions as E
 from weft.functions import values as V
-from weft.operators import changes, checks, graph, intervals, reconcile, relate
+from weft.operators import changes, checks, contracts, graph, intervals, reconcile, relate
 from weft.session import table as read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,3 +629,161 @@ def graphql_owners(spark: SparkSession, d: str) -> DataFrame:
 def metafield_identity(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit(" product . "), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")), F.lit("."), F.col("p_name"), F.when(F.col("p_partkey") % 5 == 0, ".more").otherwise(""))
     return read(spark, d, "part").select("p_partkey", V.metafield_identity(raw).alias("m")).select("p_partkey", "m.owner", "m.namespace", "m.key")
+
+
+# -- names, edits, calls ------------------------------------------------------------------------------------------------
+
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:
+    """Every part as a dependency: (rows, kind, name), with names of every fault."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    kind = F.when(k % 4 == 0, "snippet").when(k % 4 == 1, "section").when(k % 4 == 2, "section-group").otherwise("layout")
+    name = F.when(k % 7 == 0, F.concat(F.lit(" "), n)).when(k % 7 == 1, F.concat(F.lit("../"), n)).when(k % 7 == 2, F.concat(F.lit("a/"), n)).when(k % 7 == 3, F.concat(n, F.lit(".LIQUID"))).when(k % 7 == 4, "none").otherwise(F.concat(F.lit("c-"), n))
+    return read(spark, d, "part"), kind, name
+
+
+@query
+def dependency_names(spark: SparkSession, d: str) -> DataFrame:
+    rows, kind, name = _names(spark, d)
+    problem = P.dependency_name_problem(kind, name)
+    return rows.select("p_partkey", problem.alias("problem"), F.when(problem.isNull(), P.dependency_path(kind, name)).alias("file"))
+
+
+@query
+def merchant_paths(spark: SparkSession, d: str) -> DataFrame:
+    t = theme_path(spark, d)
+    path = F.col("path")
+    return t.select("page_id", P.is_merchant_data(path).alias("data"), P.is_storefront_locale(path).alias("locale"), P.is_merchant_owned(path).alias("owned"))
+
+
+@query
+def text_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Characters 10 to before 20 of every document replaced; a range of its own moves along."""
+    t = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    at = F.col("doc_id") % 40
+    start, end = X.moved_range(at, at + 5, F.lit(10), F.lit(20), F.lit(3))
+    return t.select("doc_id", F.sha2(X.edited(F.col("text"), F.lit(10), F.lit(20), F.lit("new")), 256).alias("sha"), long(start).alias("start"), long(end).alias("end"))
+
+
+@query
+def template_literals(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    value = F.concat(F.when(k % 3 == 0, '"').otherwise(""), F.col("p_brand"), F.when(k % 2 == 0, '""').otherwise(""), F.col("p_type"))
+    return read(spark, d, "part").select("p_partkey", X.string_literal(value).alias("literal"))
+
+
+@query
+def render_calls(spark: SparkSession, d: str) -> DataFrame:
+    k, lit = F.col("p_partkey"), F.lit
+    size = X.call_argument(lit("size"), F.when(k % 5 != 0, F.col("p_size").cast("string")), lit("number"))
+    title = X.call_argument(lit("title"), F.when(k % 5 != 0, F.concat(F.col("p_name"), lit("'s"))), lit("string"))
+    data = X.call_argument(lit("part"), F.when(k % 2 == 1, lit("{}")), lit("object"))
+    return read(spark, d, "part").select("p_partkey", X.render_call(F.col("p_brand"), F.array(size, title, data)).alias("call"))
+
+
+#: Type expressions that the queries of bindings deal to parts, in turn.
+_TYPES = ("string", "number.min(0).max(9)", "boolean.optional()", 'string.enum("a", "b")', "url.or(number)", "money", "array(Product)")
+
+
+@query
+def type_bindings(spark: SparkSession, d: str) -> DataFrame:
+    expression = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES) + 1).cast("int"))
+    rows = read(spark, d, "part").select("p_partkey", expression.alias("expression"))
+    found = E.bindings(rows, "expression").select("expression", "binding", "optional", "checked", "control", F.array_join("options", ",").alias("options"))
+    return rows.join(found, "expression").drop("expression")
+
+
+# -- component checks ---------------------------------------------------------------------------------------------------
+
+def _schemas(spark: SparkSession, d: str) -> DataFrame:
+    """(path, source) for every part: sound schemas, broken JSON and every fault of shape, by turns."""
+    k, quoted = F.col("p_partkey"), lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    setting = F.concat(F.lit('{"type": "range", "min": 1, "max": 9, "id": '), quoted("p_brand"), F.lit("}"))
+    block = F.concat(F.lit('{"type": '), F.when(k % 2 == 0, F.lit('"@app"')).otherwise(F.lit('"card"')), F.lit(', "settings": [{"type": "radio", "options": [{"value": "x"}], "id": '), quoted("p_type"), F.lit("}]}"))
+    sound = F.concat(F.lit('{"settings": [{"type": "header"}, '), setting, F.lit(', {"type": "checkbox", "id": "on", "label": "On"}], "blocks": ['), block, F.lit("]}"))
+    faults = ("{", "[]", '{"settings": 1}', '{"settings": [{}, 2]}', '{"settings": [{"id": 3}]}', '{"blocks": {}}', '{"blocks": [4]}', '{"blocks": [{"type": 5}]}', '{"blocks": [{"settings": 6}]}', '{"blocks": [{}, {"settings": [{"id": null}]}]}')
+    source = F.when(k % 21 >= 10, sound).otherwise(F.element_at(F.array(*map(F.lit, faults)), (F.least(k % 21, F.lit(9)) + 1).cast("int")))
+    return read(spark, d, "part").select(k.cast("string").alias("path"), source.alias("source"))
+
+
+@query
+def schema_problems(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.schema_problems(contracts.parsed_schemas(_schemas(spark, d)))
+
+
+@query
+def schema_setting_reads(spark: SparkSession, d: str) -> DataFrame:
+    reads = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.when(F.col("l_linenumber") % 3 == 0, F.col("p_brand")).when(F.col("l_linenumber") % 3 == 1, F.col("p_type")).otherwise("on")
+    reads = reads.select(F.col("l_partkey").cast("string").alias("path"), F.when(F.col("l_linenumber") % 2 == 0, "section").otherwise("block").alias("object"), name.alias("name")).distinct()
+    return contracts.unknown_setting_reads(contracts.parsed_schemas(_schemas(spark, d)), reads)
+
+
+@query
+def schema_controls(spark: SparkSession, d: str) -> DataFrame:
+    sound = _schemas(spark, d).where("path % 21 >= 10")
+    return contracts.schema_controls(sound).select("path", "name", "label", "kind", "least", "most")
+
+
+@query
+def setting_projections(spark: SparkSession, d: str) -> DataFrame:
+    props = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_brand").alias("name"), (F.col("p_size") > 10).alias("setting"), F.when(F.col("p_partkey") % 3 != 0, "text").alias("input"))
+    return contracts.setting_projections(props)
+
+
+@query
+def slot_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as components, their lines as slots and, at odd numbers, as props."""
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "section").when(F.col("o_orderkey") % 3 == 1, "block").otherwise("snippet")
+    components = read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), kind.alias("kind"))
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("at"), F.col("l_linenumber").cast("string").alias("name"), (F.col("l_quantity") > 25).alias("setting"))
+    return contracts.placement(components, x.where("at % 2 = 1").select("path", "name", "setting"), x.select("path", "at"))
+
+
+@query
+def slot_blocks(spark: SparkSession, d: str) -> DataFrame:
+    slots = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").cast("string").alias("name"))
+    p = read(spark, d, "part").where("p_size > 5")
+    return contracts.slot_problems(slots, p.select(F.col("p_partkey").cast("string").alias("name"), F.when(F.col("p_size") > 25, "block").otherwise("section").alias("kind")))
+
+
+@query
+def hoisting_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order as render sites with two unfilled arguments each; the alias is one of three."""
+    x = read(spark, d, "lineitem")
+    alias = F.element_at(F.array(*map(F.lit, ("itemCard", "item", "item_card"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    arguments = F.array(F.struct(F.lit("title").alias("argument"), F.lit(0).alias("place")), F.struct(F.lit("size").alias("argument"), F.lit(1).alias("place")))
+    rows = x.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("string").alias("site"), F.col("l_linenumber").alias("at"), alias.alias("alias"), F.explode(arguments).alias("a")).select("path", "site", "at", "alias", "a.*")
+    own = read(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("path"), F.lit("item_size").alias("id"))
+    return contracts.hoisting_conflicts(rows, own)
+
+
+@query
+def setting_headers(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("at"), F.when(F.col("l_quantity") > 25, "bigLot").otherwise("lot").alias("alias"), F.col("l_partkey").cast("string").alias("id"))
+    return contracts.with_headers(x)
+
+
+@query
+def resolution_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sites, lines as their targets and as bindings of the order's argument to a part."""
+    sites = read(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").cast("string").alias("site"))
+    x = read(spark, d, "lineitem")
+    targets = x.select(F.col("l_orderkey").cast("string").alias("site"), F.col("l_linenumber").alias("at"), F.col("l_suppkey").alias("symbol"))
+    bindings = x.select(F.col("l_orderkey").alias("path"), F.col("l_orderkey").cast("string").alias("site"), (F.col("l_linenumber") % 4).cast("string").alias("argument"), F.col("l_suppkey").alias("component"), F.col("l_partkey").alias("prop"))
+    symbols = read(spark, d, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 10).alias("owner"), (F.col("p_size") > 10).alias("contract"))
+    return contracts.resolution_problems(sites, targets, bindings, symbols)
+
+
+@query
+def default_problems(spark: SparkSession, d: str) -> DataFrame:
+    values = F.array(*map(F.lit, ('"a"', "1.5", "-2e3", "true", "[]", "{}", "NaN", "")))
+    value = F.when(F.col("p_partkey") % 9 < 8, F.element_at(values, (F.least(F.col("p_partkey") % 9, F.lit(7)) + 1).cast("int")))
+    props = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_brand").alias("name"), (F.col("p_size") > 10).alias("has_default"), value.alias("value"))
+    return contracts.default_problems(props)
+
+
+@query
+def region_references(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    inner = F.when(k % 3 == 0, F.concat(F.lit(" styles.c"), k, F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("styles['card'] | append: props.p"), F.col("p_size"), F.lit(" | append: props.p"), F.col("p_size"))).otherwise("styles.x")
+    return contracts.region_references(read(spark, d, "part").select(k.cast("string").alias("path"), (k % 3 != 2).alias("output"), inner.alias("inner")), ["styles"])

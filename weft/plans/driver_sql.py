@@ -426,3 +426,107 @@ SQL["metafield_identity"] = """
 SELECT p_partkey, CASE WHEN ok THEN 'product' END AS owner, CASE WHEN ok THEN p_brand END AS namespace, CASE WHEN ok THEN trim(p_name) END AS key
 FROM (SELECT *, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_name NOT LIKE '%.%' AND p_brand NOT LIKE '%.%' AS ok FROM part)
 """
+
+SQL["dependency_names"] = """
+WITH n AS (SELECT p_partkey, p_partkey % 4 AS kind, CASE p_partkey % 7 WHEN 0 THEN 'must be a non-empty trimmed name'
+    WHEN 1 THEN 'must not contain traversal or absolute paths' WHEN 2 THEN 'must not contain path separators' WHEN 3 THEN 'must omit theme file extensions' END AS problem,
+  CASE WHEN p_partkey % 7 = 4 THEN 'none' ELSE 'c-' || p_partkey END AS name FROM part)
+SELECT p_partkey, problem, CASE WHEN problem IS NOT NULL OR (kind = 3 AND name = 'none') THEN NULL WHEN kind = 0 THEN 'snippets/' || name || '.liquid'
+  WHEN kind = 1 THEN 'sections/' || name || '.liquid' WHEN kind = 2 THEN 'sections/' || name || '.json' ELSE 'layout/' || name || '.liquid' END AS file FROM n
+"""
+
+SQL["merchant_paths"] = """
+SELECT page_id, page_id % 10 IN (1, 4) AS data, page_id % 10 = 7 AS locale, page_id % 10 IN (1, 4, 7) AS owned FROM pages
+"""
+
+SQL["text_edits"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 40 AS a FROM documents)
+SELECT doc_id, sha256(substr(text, 1, 10) || 'new' || substr(text, 21)) AS sha, (CASE WHEN a + 5 <= 10 THEN a WHEN a >= 20 THEN a - 7 ELSE least(a, 10) END)::BIGINT AS start,
+  (CASE WHEN a + 5 <= 10 THEN a + 5 WHEN a >= 20 THEN a - 2 ELSE greatest(13, a - 2) END)::BIGINT AS "end" FROM t
+"""
+
+SQL["template_literals"] = """
+WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '" | append: ''"'' | append: ''"'' | append: "' || p_type || '"' ELSE p_brand || p_type || '"' END AS tail FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '"" | append: ''"'' | append: "' || tail ELSE '"' || tail END AS literal FROM v
+"""
+
+SQL["render_calls"] = r"""
+WITH a AS (SELECT p_partkey, '{% render ''' || p_brand || '''' AS head, list_filter([CASE WHEN p_partkey % 5 <> 0 THEN 'size: ' || p_size END,
+    CASE WHEN p_partkey % 5 <> 0 THEN 'title: ''' || p_name || '\''s''' END, CASE WHEN p_partkey % 2 = 1 THEN 'part: part' END], lambda x: x IS NOT NULL) AS given FROM part),
+c AS (SELECT *, head || ', ' || array_to_string(given, ', ') || ' %}' AS short FROM a)
+SELECT p_partkey, CASE WHEN len(given) = 0 THEN head || ' %}' WHEN length(short) <= 72 THEN short
+  ELSE head || ',' || chr(10) || '  ' || array_to_string(given, ',' || chr(10) || '  ') || chr(10) || '%}' END AS call FROM c
+"""
+
+SQL["type_bindings"] = """
+SELECT p_partkey, t.binding, t.optional, t.checked, t.control, t.options FROM part JOIN (VALUES (0, 'string', false, true, 'text', NULL), (1, 'number', false, true, 'number', NULL),
+  (2, 'boolean', true, true, 'boolean', NULL), (3, 'string', false, true, 'select', 'a,b'), (4, 'string', false, false, 'text', NULL), (5, 'string', false, true, 'number', NULL),
+  (6, 'string', false, false, 'text', NULL)) AS t(k, binding, optional, checked, control, options) ON p_partkey % 7 = t.k
+"""
+
+SQL["schema_problems"] = """
+SELECT p_partkey::VARCHAR AS path, CASE WHEN t.k = 0 THEN 'SCHEMA_INVALID_JSON' ELSE 'SCHEMA_INVALID_SHAPE' END AS code, t.name FROM part JOIN (VALUES (0, 'invalid JSON'),
+  (1, 'root must be an object'), (2, '"settings" must be an array'), (3, 'settings[1] must be an object'), (4, 'settings[0].id must be a string'), (5, '"blocks" must be an array'),
+  (6, 'blocks[0] must be an object'), (7, 'blocks[0].type must be a string'), (8, 'blocks[0].settings must be an array'), (9, 'blocks[1].settings[0].id must be a string')) AS t(k, name) ON p_partkey % 21 = t.k
+"""
+
+SQL["schema_setting_reads"] = """
+WITH r AS (SELECT DISTINCT l_partkey AS k, l_linenumber % 2 = 0 AS section, CASE l_linenumber % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE 'on' END AS name, p_brand, p_type
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT k::VARCHAR AS path, 'SETTING_READ_UNKNOWN' AS code, name FROM r WHERE k % 21 >= 10 AND ((section AND name <> p_brand AND name <> 'on') OR (NOT section AND k % 2 = 1 AND name <> p_type))
+"""
+
+SQL["schema_controls"] = """
+SELECT p_partkey::VARCHAR AS path, p_brand AS name, p_brand AS label, 'number' AS kind, 1.0::DOUBLE AS least, 9.0::DOUBLE AS most FROM part WHERE p_partkey % 21 >= 10
+UNION ALL SELECT p_partkey::VARCHAR, 'on', 'On', 'boolean', NULL, NULL FROM part WHERE p_partkey % 21 >= 10
+"""
+
+SQL["setting_projections"] = """
+SELECT p_partkey::VARCHAR AS path, 'SETTING_TYPE_UNSUPPORTED' AS code, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey % 3 = 0
+"""
+
+SQL["slot_placement"] = """
+SELECT l_orderkey AS path, 'PROP_WITHOUT_SETTING' AS code, l_linenumber::VARCHAR AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE l_linenumber % 2 = 1 AND NOT l_quantity > 25 AND o_orderkey % 3 IN (0, 1)
+UNION ALL SELECT l_orderkey, 'SLOT_OUTSIDE_SECTION', l_linenumber::VARCHAR FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT l_orderkey, 'SLOT_REPEATED', l_linenumber::VARCHAR FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS f FROM lineitem) WHERE l_linenumber > f
+"""
+
+SQL["slot_blocks"] = """
+SELECT DISTINCT l_orderkey AS path, CASE WHEN p_size IS NULL THEN 'SLOT_BLOCK_UNKNOWN' ELSE 'SLOT_NOT_A_BLOCK' END AS code, l_partkey::VARCHAR AS name
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON p_partkey = l_partkey WHERE p_size IS NULL OR p_size <= 25
+"""
+
+SQL["hoisting_conflicts"] = """
+WITH s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS "at", CASE l_suppkey % 3 WHEN 0 THEN 'itemCard' WHEN 1 THEN 'item' ELSE 'item_card' END AS alias FROM lineitem),
+f AS (SELECT *, min("at") OVER (PARTITION BY path, alias) AS first FROM s),
+n AS (SELECT path, "at", a.place, alias, CASE alias WHEN 'item' THEN 'item_' ELSE 'item_card_' END || a.argument AS id FROM f, (VALUES ('title', 0), ('size', 1)) AS a(argument, place) WHERE "at" = first),
+j AS (SELECT *, row_number() OVER (PARTITION BY path, id ORDER BY "at", place, alias) AS turn FROM n)
+SELECT path, 'HOISTED_ALIAS_REUSED' AS code, "at"::VARCHAR AS name FROM f WHERE "at" <> first
+UNION ALL SELECT path, 'HOISTED_SETTING_COLLISION', id FROM j WHERE turn > 1 OR (id = 'item_size' AND path % 2 = 0)
+"""
+
+SQL["setting_headers"] = """
+WITH s AS (SELECT l_orderkey AS path, l_linenumber AS "at", CASE WHEN l_quantity > 25 THEN 'Big lot' ELSE 'Lot' END AS alias, l_partkey::VARCHAR AS id FROM lineitem),
+l AS (SELECT *, lag(alias) OVER (PARTITION BY path ORDER BY "at", id, alias) AS before FROM s)
+SELECT path, "at", 1 AS part, 'setting' AS type, id AS content FROM l UNION ALL SELECT path, "at", 0, 'header', alias FROM l WHERE before IS DISTINCT FROM alias
+"""
+
+SQL["resolution_problems"] = """
+WITH t AS (SELECT l_orderkey, count(*) AS n, first(l_suppkey ORDER BY l_linenumber, l_suppkey) AS target FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT x.l_orderkey AS path, (l_linenumber % 4)::VARCHAR AS argument, l_suppkey, target, p_partkey, p_size FROM lineitem x JOIN t ON x.l_orderkey = t.l_orderkey LEFT JOIN part ON p_partkey = l_partkey)
+SELECT o_custkey AS path, 'RENDER_TARGET_COUNT' AS code, o_orderkey::VARCHAR AS name FROM orders LEFT JOIN t ON o_orderkey = l_orderkey WHERE coalesce(n, 0) <> 1
+UNION ALL SELECT path, 'ARGUMENT_AMBIGUOUS', argument FROM b GROUP BY path, argument HAVING count(*) > 1
+UNION ALL SELECT path, 'BINDING_TARGET_MISMATCH', argument FROM b WHERE l_suppkey <> target
+UNION ALL SELECT path, 'BINDING_NOT_CONTRACT_PROP', argument FROM b WHERE NOT coalesce(p_partkey % 10 = l_suppkey AND p_size > 10, false)
+"""
+
+SQL["default_problems"] = """
+SELECT p_partkey::VARCHAR AS path, 'DEFAULT_INVALID' AS code, p_brand AS name FROM part WHERE CASE WHEN p_size > 10 THEN p_partkey % 9 > 3 ELSE p_partkey % 9 <> 8 END
+"""
+
+SQL["region_references"] = """
+SELECT p_partkey::VARCHAR AS path, 'style' AS kind, 'styles' AS binding, CASE p_partkey % 3 WHEN 0 THEN 'c' || p_partkey WHEN 1 THEN 'card' ELSE 'x' END AS name,
+  CASE WHEN p_partkey % 3 = 0 THEN 'bare-class' ELSE 'quoted-class' END AS form, 1::BIGINT AS n FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'prop', 'props', 'p' || p_size, 'identifier', 2 FROM part WHERE p_partkey % 3 = 1
+"""
