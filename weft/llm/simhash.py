@@ -345,11 +345,18 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity
     return np.concatenate([hashes[~last], hashes[last][np.argsort(rank[at[last]])]])[:size]
 
 
-def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """(i, j) of pairs of rows that share a key (keys are sorted), in pieces: all whose sets can be similar enough."""
+def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketches: np.ndarray, similarity: float):
+    """(i, j) of pairs of rows that share a key (keys are sorted), in pieces: all whose sets can be similar enough.
+
+    A key is an element of both sets, and ``places`` has how many of the own elements come before it. Where the key is the
+    first that both have, they share no more than what is left from there on in the smaller rest; so a similar pair passes
+    at its first key, and with it sets of too different sizes fall out.
+    """
     if not len(keys):
         return
     most = (1 - similarity) / (1 + similarity)  # of both sizes: elements that similar sets can differ in
+    least = similarity / (1 + similarity)  # of both sizes: elements that similar sets share
+    rest = sizes - places
     start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
     end = np.append(start[1:], len(keys))
     long = end - start >= MATRIX
@@ -359,27 +366,30 @@ def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, si
             bits = np.zeros((to - i, e - i), np.int64)
             for w in range(SKETCH_WORDS):
                 bits += np.bitwise_count(sketches[i:to, None, w] ^ sketches[None, i:e, w])
-            x, y = np.nonzero(bits <= most * (sizes[i:to, None] + sizes[None, i:e]) + 1e-6)
+            both = sizes[i:to, None] + sizes[None, i:e]
+            x, y = np.nonzero((bits <= most * both + 1e-6) & (np.minimum(rest[i:to, None], rest[None, i:e]) >= least * both - 1e-6))
             upper = y > x
             yield x[upper] + i, y[upper] + i
     run_end = np.repeat(np.where(long, start, end), end - start)
     at, step = np.arange(len(keys)), 1
     while len(at := at[at + step < run_end[at]]):
-        bits = np.bitwise_count(sketches[at] ^ sketches[at + step]).sum(axis=1, dtype=np.int64)
-        near = bits <= most * (sizes[at] + sizes[at + step]) + 1e-6
-        yield at[near], at[near] + step
+        both = sizes[at] + sizes[at + step]
+        fit = at[np.minimum(rest[at], rest[at + step]) >= least * both - 1e-6]
+        bits = np.bitwise_count(sketches[fit] ^ sketches[fit + step]).sum(axis=1, dtype=np.int64)
+        near = fit[bits <= most * (sizes[fit] + sizes[fit + step]) + 1e-6]
+        yield near, near + step
         step += 1
 
 
 def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b, of ``rows`` (key, root, n, sketch, sig, x, y): all pairs that share sig, x, y, can be similar and have two roots."""
+    """(a, b), a < b, of ``rows`` (key, root, n, place, sketch, sig, x, y): all pairs that share sig, x, y, can be similar and have two roots."""
     rows_at_once = 8_000  # a task holds all pairs of so many rows
     rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "key")
 
     def pairs_of(block, sketch):
         points, node = np.unique(block[:, 0], return_inverse=True)
         found = []
-        for i, j in _similar_pairs(block[:, 3:], block[:, 2], sketch, similarity):
+        for i, j in _similar_pairs(block[:, 4:], block[:, 2], block[:, 3], sketch, similarity):
             apart = block[i, 1] != block[j, 1]
             if apart.any():
                 a, b = node[i[apart]], node[j[apart]]
@@ -390,26 +400,26 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
 
     def pieces(block, sketch):
         at = 0
-        for piece in _pieces(block[:, 1:], rows_at_once):
+        for piece in _pieces(block[:, 2:], rows_at_once):
             yield pairs_of(block[at : at + len(piece)], sketch[at : at + len(piece)])
             at += len(piece)
 
     def run(batches):
         held, sketches, size = [], [], 0
         for batch in batches:
-            held.append(np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(6)], axis=1))
-            sketches.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS))
+            held.append(np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(7)], axis=1))
+            sketches.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS))
             size += batch.num_rows
             if size >= rows_at_once:
                 block, sketch = np.concatenate(held), np.concatenate(sketches)
-                other = np.flatnonzero((block[:, 3:] != block[-1, 3:]).any(axis=1))
+                other = np.flatnonzero((block[:, 4:] != block[-1, 4:]).any(axis=1))
                 cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
                 yield from pieces(block[:cut], sketch[:cut])
                 held, sketches, size = [block[cut:]], [sketch[cut:]], len(block) - cut
         if size:
             yield from pieces(np.concatenate(held), np.concatenate(sketches))
 
-    return rows.select("key", "root", "n", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.select("key", "root", "n", "place", "sig", "x", "y", "sketch").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _common_shingles(texts: DataFrame, width: int, one_in: int = 20, least_rows: int = 4000, keep: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -489,7 +499,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def possible(batches):
         for batch in _slices(batches, 500):
             columns = zip(*(batch.column(j).to_pylist() for j in range(2, 6)))
-            far = [(_least_difference(x, y) / max(1, n + m), n + m) for n, x, m, y in columns]
+            far = [(max(abs(n - m), _least_difference(x, y)) / max(1, n + m), n + m) for n, x, m, y in columns]
             keep = [d * size <= most * size + 1e-6 for d, size in far]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d for d, _ in far], pa.float64())], ["a", "b", "far"]).filter(pa.array(keep, pa.bool_()))
 
@@ -514,12 +524,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = materialize(connected_components(linked), "roots")
     # of shingles that several texts have first, only those are left that texts of two groups have
     named = points.select("key", "sigs").join(sized(joined, broadcast_rows), F.col("key") == F.col("node"), "left")
-    sigs = named.select("key", F.coalesce("root", "key").alias("root"), F.explode("sigs").alias("sig"))
+    sigs = named.select("key", F.coalesce("root", "key").alias("root"), F.posexplode("sigs").alias("place", "sig"))
     shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     shared = materialize(shared.select("sig", F.ceil(F.col("c") / block_rows).cast("int").alias("nb")), "signatures")
     cells = sigs.join(sized(shared, broadcast_rows), "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    cells = cells.select("key", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    cells = cells.select("key", "root", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
+    cells = cells.select("key", "root", "place", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    cells = cells.select("key", "root", "place", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
     rest = materialize(_candidates(cells.join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
     rest, roots = possible_pairs(rest), joined
     for last in (False,) * forest_rounds + (True,):
