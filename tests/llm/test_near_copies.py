@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from tests.llm.test_operators import DOCS, rows_of
 from weft.llm import simhash as S
 
@@ -53,3 +55,33 @@ def test_pairs_of_every_fingerprint_distance(spark):
     want = brute_left(texts)
     assert 150 < len(want) < 250
     assert left(spark, texts) == want
+
+
+def test_no_similar_pair_falls_out_by_place_or_length():
+    """Every pair of sets of similarity 0.8 or more is found at some key, in runs compared as matrices and in short ones; none of too different sizes is."""
+    rng = np.random.default_rng(13)
+    sets = []
+    for n in (1, 2, 5, 9, 40, 300, 900):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for _ in range(12):
+            new = rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 2)), dtype=np.uint64)
+            kept = base[: max(1, n - int(rng.integers(0, n // 5 + 1)))]
+            sets += [np.unique(np.concatenate([kept, new])), np.unique(kept)]
+        sets += [np.unique(np.concatenate([base, rng.integers(0, 2**63, 3 * n, dtype=np.uint64)])) for _ in range(4)]
+    everywhere = np.sort(np.unique(np.concatenate([s[:1] for s in sets])))
+    for common, matrix in ((everywhere[:0], 2), (everywhere, 2), (everywhere, 10_000)):
+        rank = np.arange(len(common))
+        rows = [(int(h.view(np.int64)), i, place) for i, s in enumerate(sets) for place, h in enumerate(S._prefix(s, common, rank, 0.8))]
+        rows = np.array(sorted(rows), np.int64)
+        size = np.array([len(s) for s in sets])
+        sketches = np.stack([np.frombuffer(S._sketch(s), np.uint64) for s in sets])[rows[:, 1]]
+        held, S.MATRIX = S.MATRIX, matrix
+        try:
+            got = {tuple(sorted((rows[i, 1], rows[j, 1]))) for x, y in S._similar_pairs(rows[:, :1], size[rows[:, 1]], rows[:, 2], sketches, 0.8) for i, j in zip(x, y)}
+        finally:
+            S.MATRIX = held
+        own = [frozenset(s.tolist()) for s in sets]
+        both = {(a, b): len(own[a] & own[b]) for a, b in itertools.combinations(range(len(sets)), 2)}
+        want = {p for p, n in both.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n)}
+        assert len(want) > 100 and want <= got
+        assert all(min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) - 1e-6 for a, b in got)
