@@ -33,37 +33,61 @@ from weft.llm.text import words_of
 from weft.session import materialize
 
 
-def _postings(shard: int, ids: list, texts: list[list[bytes]], id_type: pa.DataType) -> pa.RecordBatch:
-    """The rows of one shard: a row a text, then a row a term."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else lengths
-    codes: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    n = int(lengths.sum())
-    code = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(texts)), np.int32, n)
-    position = np.arange(n, dtype=np.int64) + np.repeat(np.arange(len(texts)), lengths)
+def _postings(shard: int, ids: list, lengths: list[int], codes: list[np.ndarray], terms: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
+    """The rows of one shard: a row a text, then a row a term; codes has the places of each text's words in ``terms``."""
+    texts, blank = len(ids), len(terms)
+    lengths = np.array(lengths, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    code = np.concatenate(codes)
     order = np.argsort(code, kind="stable")
-    counts = np.bincount(code, minlength=len(codes)) if n else np.zeros(0, np.int64)
+    counts = np.bincount(code, minlength=blank)
     ends = np.cumsum(counts)
-    position = position[order]
-    delta = np.diff(position, prepend=0)  # each list: its first position, then the steps
-    if n:
+    position = (np.arange(len(code), dtype=np.int32) + np.repeat(np.arange(texts, dtype=np.int32), lengths))[order]
+    delta = np.diff(position, prepend=np.int32(0))  # each list: its first position, then the steps
+    if len(code):
         delta[ends - counts] = position[ends - counts]
-    offsets = np.concatenate([np.zeros(len(texts) + 1, np.int32), ends.astype(np.int32)])
-    blank = len(codes)
+    offsets = np.concatenate([np.zeros(texts + 1, np.int32), ends.astype(np.int32)])
+    of_texts = pa.nulls(texts, pa.binary())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(len(texts) + blank, shard)),
-            pa.array([None] * len(texts) + list(codes), pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(delta.astype(np.int32))),
-            pa.array([*range(len(texts)), *[None] * blank], pa.int32()),
+            pa.array(np.full(texts + blank, shard)),
+            pa.concat_arrays([of_texts, pa.array(terms, pa.binary())]),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(delta)),
+            pa.concat_arrays([pa.array(np.arange(texts, dtype=np.int32)), pa.nulls(blank, pa.int32())]),
             pa.array(np.concatenate([starts, np.zeros(blank, np.int64)])),
             pa.array(np.concatenate([lengths, counts])),
-            pa.array([*ids, *[None] * blank], id_type),
+            pa.concat_arrays([pa.array(ids, id_type), pa.nulls(blank, id_type)]),
         ],
         ["shard", "term", "steps", "text_no", "start", "n", "id"],
     )
 
 
+def _shards(batches, shard: int, shard_words: int, rows: int = 20_000):
+    """The rows of all shards of the (id, text) batches, at most ``rows`` at once. Of a shard's words only their codes are held."""
+    ids, lengths, codes, size, id_type = [], [], [], 0, None
+    terms: dict[bytes, int] = defaultdict(itertools.count().__next__)
+
+    def written():
+        table = _postings(shard, ids, lengths, codes, list(terms), id_type)
+        for i in range(0, table.num_rows, rows):
+            yield table.slice(i, rows)
+
+    for batch in batches:
+        id_type = batch.column(0).type
+        for key, text in zip(batch.column(0), batch.column(1)):
+            words = words_of(text.as_py())
+            if ids and size + len(words) > shard_words:
+                yield from written()
+                shard, size = shard + 1, 0
+                ids, lengths, codes, terms = [], [], [], defaultdict(itertools.count().__next__)
+            ids.append(key.as_py())
+            lengths.append(len(words))
+            codes.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
+            size += len(words) + 1
+    if ids:
+        yield from written()
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, shard_words: int = 1_000_000) -> DataFrame:
     """Positional postings of all terms of all texts, written to the shared folder.
 
@@ -76,19 +100,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, shard_words: int =
     ])
 
     def build(batches):
-        shard, ids, texts, size, id_type = TaskContext.get().partitionId() << 32, [], [], 0, None
-        for batch in batches:
-            id_type = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if texts and size + len(words) > shard_words:
-                    yield _postings(shard, ids, texts, id_type)
-                    shard, ids, texts, size = shard + 1, [], [], 0
-                ids.append(key)
-                texts.append(words)
-                size += len(words) + 1
-        if texts:
-            yield _postings(shard, ids, texts, id_type)
+        yield from _shards(batches, TaskContext.get().partitionId() << 32, shard_words)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(build, schema), "postings")
