@@ -85,3 +85,17 @@ def test_no_similar_pair_falls_out_by_place_or_length():
         want = {p for p, n in both.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n)}
         assert len(want) > 100 and want <= got
         assert all(min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) - 1e-6 for a, b in got)
+
+
+def test_marked_elements_are_all_that_are_sought(spark):
+    rng = np.random.default_rng(14)
+    lists = [rng.integers(-(2**63), 2**63 - 1, int(n)).tolist() for n in rng.integers(0, 40, 300)]
+    lists[5] += [-1, 0, 2**63 - 1, -(2**63)]
+    every = [(key, -key, place, sig) for key, own in enumerate(lists) for place, sig in enumerate(own)]
+    sought = {sig for *_, sig in every[::7]} | set(lists[5])
+    marks = S._marks(spark.createDataFrame([(x,) for x in sought], "sig long"), 12)
+    rows = spark.createDataFrame([(key, -key, own) for key, own in enumerate(lists)], "key long, root long, sigs array<long>").repartition(3)
+    got = [tuple(r) for r in S._marked(rows, marks).select("key", "root", "place", "sig").collect()]
+    assert len(set(got)) == len(got) and {r for r in every if r[3] in sought} <= set(got) <= set(every)
+    assert len(got) < 0.5 * len(every)
+    assert not S._marked(rows, S._marks(spark.createDataFrame([], "sig long"))).count()

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from weft.llm.sampling import sized
 from weft.llm.text import words_of
-from weft.session import materialize
+from weft.session import materialize, scratch
 
 
 def _postings(shard: int, ids: list, lengths: list[int], codes: list[np.ndarray], terms: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
@@ -274,7 +274,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.concat(F.sha2(text, 256), F.lit(":"), F.octet_length(text).cast("string"))
     texts = docs.select(own.alias("digest"), text.alias("text"))
-    bad = decontaminate(texts, benchmark, "digest", "text", **options).where("contaminated").select(F.col("digest").alias("_bad")).distinct()
-    bad = materialize(bad, "contaminated")
+    with scratch(docs.sparkSession):  # the index is as large as the texts
+        bad = decontaminate(texts, benchmark, "digest", "text", **options).where("contaminated").select(F.col("digest").alias("_bad")).distinct()
+        bad = materialize(bad, "contaminated", outlives=True)
     rows = docs.select(F.struct("*").alias("_row"), own.alias("_own"))
     return rows.join(sized(bad, broadcast_rows), F.col("_own") == F.col("_bad"), "left_anti").select("_row.*")

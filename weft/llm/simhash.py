@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from weft.llm.sampling import sized
 from weft.operators.components import connected_components
-from weft.session import materialize
+from weft.session import materialize, scratch
 
 #: Costs of a signature (made, shuffled, sorted) and of a compared pair, in microseconds.
 SIGNATURE_US, PAIR_US = 1.5, 0.005
@@ -381,6 +381,34 @@ def _similar_pairs(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, sket
         step += 1
 
 
+def _marks(hashes: DataFrame, bits: int = 25) -> np.ndarray:
+    """A bit table, by the last ``bits`` of a hash (of prefixes, the first are mostly low), of the hashes (sig): 64-bit words, 4 MB with 25 bits, however many hashes."""
+    slot = F.col("sig").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[np.asarray(found["word"], np.int64)] = np.asarray(found["bits"], np.int64).view(np.uint64)
+    return table
+
+
+def _marked(rows: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(key, root, place, sig) of the elements of the lists ``sigs`` of ``rows`` (key, root, sigs) whose bit is set: all hashes
+    behind ``marks`` and few others, so that the others are not shuffled to be joined with nothing."""
+    shared, last = rows.sparkSession.sparkContext.broadcast(marks), np.uint64(64 * len(marks) - 1)
+
+    def run(batches):
+        for batch in batches:
+            sigs = batch.column(2).flatten()
+            lengths = np.asarray(batch.column(2).value_lengths(), np.int64)
+            slot = np.asarray(sigs, np.int64).view(np.uint64) & last
+            keep = np.flatnonzero(shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            row = np.repeat(np.arange(len(lengths)), lengths)[keep]
+            place = keep - (np.cumsum(lengths) - lengths)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), sigs.take(pa.array(keep))], ["key", "root", "place", "sig"])
+
+    return rows.select("key", "root", "sigs").mapInArrow(run, "key long, root long, place int, sig long")
+
+
 def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, of ``rows`` (key, root, n, place, sketch, sig, x, y): all pairs that share sig, x, y, can be similar and have two roots."""
     rows_at_once = 8_000  # a task holds all pairs of so many rows
@@ -459,7 +487,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own_text = F.concat(F.unhex(F.sha2(text, 256)), F.encode(F.octet_length(text).cast("string"), "UTF-8"))
     marked = docs.select(F.col(id_col).alias("_id"), own_text.alias("_own"), text.alias("_text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 200,000 hashes and ranks at most
+    with scratch(docs.sparkSession):
+        gone = _dropped_copies(marked, verify_width, similarity, distance, block_rows, broadcast_rows, forest_rounds)
+        gone = materialize(gone, "dropped", outlives=True)
+    kept = docs.select(F.struct("*").alias("_row"), own_text.alias("_own"), F.col(id_col).alias("_id"))
+    same = (F.col("_own") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
+    return kept.join(sized(gone, broadcast_rows), same, "left_anti").select("_row.*")
+
+
+def _dropped_copies(marked: DataFrame, verify_width: int, similarity: float, distance: int, block_rows: int, broadcast_rows: int, forest_rounds: int) -> DataFrame:
+    """(_gone, _gone_id): texts and identifiers of the rows of ``marked`` (_id, _own, _text) that do not stay."""
+    spark = marked.sparkSession
+    common = spark.sparkContext.broadcast(_common_shingles(marked.select("_own", "_text"), verify_width))  # 200,000 hashes and ranks at most
 
     def prefixes(batches):
         for batch in _slices(batches, 500):
@@ -469,7 +508,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 [batch.column(0), batch.column(1), pa.array([len(h) for h in hashes], pa.int64()), pa.array([_majority(h) for h in hashes], pa.int64()), pa.array([_sketch(h) for h in hashes], pa.binary()),
                  pa.array([_wide_sketch(h) for h in hashes], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["id", "own", "n", "fp", "sketch", "wide", "sigs"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("own", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", marked.schema["_id"].dataType), T.StructField("own", T.BinaryType())])
     for name, kind in (("n", T.LongType()), ("fp", T.LongType()), ("sketch", T.BinaryType()), ("wide", T.BinaryType()), ("sigs", T.ArrayType(T.LongType()))):
         schema.add(name, kind)
     rows = marked.select("_id", "_own", "_text").mapInArrow(prefixes, schema).withColumn("row", F.monotonically_increasing_id())
@@ -511,23 +550,29 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def verified(pairs):
         ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        named = materialize(points.select("key", F.col("own").alias("_own")).join(sized(ends, broadcast_rows), "key", "left_semi"), "ends")
-        wanted = marked.select("_own", "_text").join(sized(named, broadcast_rows), "_own").select("key", "_text")
-        wanted = materialize(wanted if repeated.isEmpty() else wanted.dropDuplicates(["key"]), "texts")
-        both = pairs.select("a", "b").join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+        with scratch(spark):
+            named = materialize(points.select("key", F.col("own").alias("_own")).join(sized(ends, broadcast_rows), "key", "left_semi"), "ends")
+            wanted = marked.select("_own", "_text").join(sized(named, broadcast_rows), "_own").select("key", "_text")
+            wanted = materialize(wanted if repeated.isEmpty() else wanted.dropDuplicates(["key"]), "texts")
+            both = pairs.select("a", "b").join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
+            return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified", outlives=True)
+
+    def components(edges):
+        with scratch(spark):
+            return materialize(connected_components(edges), "roots", outlives=True)
 
     prints = points.select("key", "fp")
     near = links(prints, distance, plan(prints, distance))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = verified(possible_pairs(materialize(near, "candidates")))
-    joined = materialize(connected_components(linked), "roots")
+    joined = components(linked)
     # of shingles that several texts have first, only those are left that texts of two groups have
     named = points.select("key", "sigs").join(sized(joined, broadcast_rows), F.col("key") == F.col("node"), "left")
     sigs = named.select("key", F.coalesce("root", "key").alias("root"), F.posexplode("sigs").alias("place", "sig"))
     shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     shared = materialize(shared.select("sig", F.ceil(F.col("c") / block_rows).cast("int").alias("nb")), "signatures")
-    cells = sigs.join(sized(shared, broadcast_rows), "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    cells = _marked(named.select("key", F.coalesce("root", "key").alias("root"), "sigs"), _marks(shared))
+    cells = cells.join(sized(shared, broadcast_rows), "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     cells = cells.select("key", "root", "place", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     cells = cells.select("key", "root", "place", "sig", F.least("own", "other").cast("long").alias("x"), F.greatest("own", "other").cast("long").alias("y"))
     rest = materialize(_candidates(cells.join(points.select("key", "n", "sketch"), "key"), similarity), "candidates")
@@ -545,12 +590,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ways = rest.select(F.col("a").alias("v"), "far", "a", "b").unionByName(rest.select(F.col("b").alias("v"), "far", "a", "b"))
             chosen = materialize(ways.groupBy("v").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
         linked = linked.unionByName(verified(chosen))
-        roots = materialize(connected_components(linked), "roots")
+        roots = components(linked)
         rest = rest.join(sized(chosen.select("a", "b"), broadcast_rows), ["a", "b"], "left_anti")
     grouped = members.join(roots, members["key"] == roots["node"]).select("own", "id", "root") if repeated.isEmpty() else members.join(roots, members["key"] == roots["node"], "left").select("own", "id", F.coalesce("root", "key").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("id").alias("stays"))
-    gone = grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("own").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
-    gone = materialize(gone, "dropped")
-    kept = docs.select(F.struct("*").alias("_row"), own_text.alias("_own"), F.col(id_col).alias("_id"))
-    same = (F.col("_own") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
-    return kept.join(sized(gone, broadcast_rows), same, "left_anti").select("_row.*")
+    return grouped.join(stays, "root").where(F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))).select(F.col("own").alias("_gone"), F.col("id").alias("_gone_id")).distinct()
