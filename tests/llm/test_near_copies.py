@@ -99,3 +99,18 @@ def test_marked_elements_are_all_that_are_sought(spark):
     assert len(set(got)) == len(got) and {r for r in every if r[3] in sought} <= set(got) <= set(every)
     assert len(got) < 0.5 * len(every)
     assert not S._marked(rows, S._marks(spark.createDataFrame([], "sig long"))).count()
+
+
+def test_rows_do_not_depend_on_the_order_of_shingles(spark, monkeypatch):
+    """Whatever is taken as common, right or wrong: it is only compared later, not left out."""
+    rng = random.Random(15)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join(changed(rng, words, rng.choice((2, 2, 9))))]
+    want = brute_left(texts)
+    assert 40 < len(want) < 75
+    some = np.unique(np.concatenate([S._shingle_hashes(t, 5)[::3] for t in texts]))
+    for common in (some[:0], some):
+        monkeypatch.setattr(S, "_common_shingles", lambda *_, c=common: (c, np.arange(len(c))[::-1].copy()))
+        assert left(spark, texts, distance=3) == want
