@@ -10,11 +10,12 @@ from weft.llm.language_id import fit_languages, keep_known_languages
 from weft.llm.packing import pack
 from weft.llm.sampling import fold
 from weft.llm.simhash import drop_near_copies
-from weft.session import materialize, table
+from weft.session import bound_batches, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, and those whose n-grams no learned language has."""
+    bound_batches(spark)
     model = fit_languages(docs.where(fold("doc_id") != 2), "doc_id", "text", "lang")
     return keep_known_languages(docs, model)
 

@@ -8,18 +8,19 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weft import session
 from weft.llm import decontaminate as D
 from weft.llm import simhash as S
 
 
-def test_python_gets_bounded_batches(spark):
-    before = {k: spark.conf.get(k) for k in session.WRITING}
+def sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
 
-    def sizes(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
 
+def test_python_gets_bounded_batches(spark):
+    before = {k: spark.conf.get(k) for k in session.WRITING}
     rows = spark.range(9000).selectExpr("repeat('some words ', 200) AS text").coalesce(1)
     got = session.materialize(rows.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
     assert sum(r.n for r in got) == 9000 and max(r.bytes for r in got) < 5_000_000
@@ -87,3 +88,16 @@ def test_scratch_is_deleted_after_an_error(spark):
         assert kept.count() == 3
         1 / 0
     assert on_disk(spark)[1] == tables
+
+
+def test_batches_are_bounded_from_the_first_stage_on(spark):
+    """The caller writes what a stage returns, so the bound must hold outside of our own writes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.createDataFrame([(i, "some words of a text", "en") for i in range(8)], "doc_id long, text string, lang string")
+        corpus_pipeline.language(spark, docs, "").count()
+        rows = spark.range(9000).selectExpr("repeat('some words ', 200) AS text").coalesce(1)
+        assert max(r.bytes for r in rows.mapInArrow(sizes, "n long, bytes long").collect()) < 5_000_000
+    finally:
+        spark.conf.set(key, before)
