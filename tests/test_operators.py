@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft import session
 from weft.functions import paths as P
 from weft.functions import values as V
 from weft.operators import changes, components, graph, intervals, reconcile, relate
@@ -77,6 +78,19 @@ def test_components_and_sccs(spark):
     assert got == {n: (min([n] + [m for m in range(13) if (n, m) in reach and (m, n) in reach]), (n, n) in reach) for n in range(13)}
 
 
+def test_broken_endpoints_are_dealt_by_rows(spark, monkeypatch):
+    """A task gets no more rows than stated, though Spark would make one partition of them; repeated nodes and null ends count as before."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    nodes = spark.range(800).select(F.concat(F.lit("n"), F.col("id") % 400).alias("node"))
+    edges = spark.range(1200).select(F.concat(F.lit("n"), F.col("id") % 600).alias("src"), F.when(F.col("id") % 2 == 0, "hub").when(F.col("id") > 5, "n1").alias("dst"))
+    got = graph.broken_endpoints(nodes, edges).withColumn("part", F.spark_partition_id()).collect()
+    want = [(f"n{i % 600}", "hub" if i % 2 == 0 else "n1" if i > 5 else None, "src") for i in range(1200) if i % 600 >= 400]
+    want += [(f"n{i % 600}", "hub" if i % 2 == 0 else None, "dst") for i in range(1200) if i % 2 == 0 or i <= 5]
+    assert sorted((r.src, r.dst, r.missing) for r in got if r.dst) == sorted(x for x in want if x[1]) and sum(r.dst is None for r in got) == sum(x[1] is None for x in want)
+    by_src = [r.part for r in got if r.missing == "src"]
+    assert len(set(by_src)) >= 15 and max(map(by_src.count, set(by_src))) <= 100
+
+
 def test_replay_needs_the_confirming_pass():
     args = (["a", "b"], [("a", "b"), ("b", "a")], {"b": {"settings.color"}})
     assert graph.replay_data_flow(*args, 8, 100)["converged"] and not graph.replay_data_flow(*args, 1, 100)["converged"]

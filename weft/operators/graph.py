@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import materialize
+from weft.session import materialize, tasks_for
 
 
 def closure(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), reverse: bool = False, max_rounds: int = 1000) -> DataFrame:
@@ -125,10 +125,16 @@ def replay_data_flow(members: list[str], edges: list[tuple[str, str]], reads: di
 
 
 def broken_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, missing): edges with an end that is no node; one row per missing end."""
-    known = nodes.select("node").distinct()
-    no_src = edges.join(known.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", F.lit("src").alias("missing"))
-    no_dst = edges.join(known.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", F.lit("dst").alias("missing"))
+    """(src, dst, missing): edges with an end that is no node; one row per missing end.
+
+    A task holds the nodes of its partition, each once, in a hash table; edges pass by it unsorted, so a node that very many
+    edges point to takes no memory.
+    """
+    n = tasks_for(nodes, edges)
+    known = nodes.select("node").repartition(n, "node")
+    lacks = lambda end: edges.repartition(n, end).join(known.select(F.col("node").alias(end)).hint("shuffle_hash"), end, "left_anti")
+    no_src = lacks("src").select("src", "dst", F.lit("src").alias("missing"))
+    no_dst = lacks("dst").select("src", "dst", F.lit("dst").alias("missing"))
     return no_src.unionByName(no_dst)
 
 
