@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weft import session
 from weft.functions import paths as P
 from weft.functions import text as X
 from weft.functions import type_expressions as E
@@ -91,3 +92,17 @@ def test_defaults_and_slots(spark):
     slots = spark.createDataFrame([("s", 5), ("s", 9), ("n", 1)], "path string, at int")
     plain = spark.createDataFrame([("s", "p", False), ("n", "p", False), ("s", "q", True)], "path string, name string, setting boolean")
     assert rows(contracts.placement(components, plain, slots)) == [("n", "SLOT_OUTSIDE_SECTION", "1"), ("s", "PROP_WITHOUT_SETTING", "p"), ("s", "SLOT_REPEATED", "9")]
+
+
+def test_slots_are_dealt_by_rows(spark, monkeypatch):
+    """A task gets about the stated rows, though Spark would make one partition of them; repeats, null names and null kinds count as before."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    components = spark.createDataFrame([("b", "block"), ("b", "section"), ("s", "section"), ("k", None), ("k", None), *[(f"n{i}", "section") for i in range(300)]], "name string, kind string")
+    slots = spark.range(1200).select(F.concat(F.lit("f"), F.col("id") % 600).alias("path"), F.concat(F.lit("n"), F.col("id") % 600).alias("name"))
+    odd = spark.createDataFrame([("f", n) for n in ("b", "s", "s", "k", "gone", None)], "path string, name string")
+    got = contracts.slot_problems(slots.unionByName(odd), components).withColumn("part", F.spark_partition_id()).collect()
+    known, unknown = "SLOT_NOT_A_BLOCK", "SLOT_BLOCK_UNKNOWN"
+    want = [(f"f{i}", known if i < 300 else unknown, f"n{i}") for i in range(600)] + [("f", known, "s"), ("f", unknown, "k"), ("f", unknown, "gone"), ("f", unknown, None)]
+    assert sorted(map(repr, ((r.path, r.code, r.name) for r in got))) == sorted(map(repr, want))
+    parts = [r.part for r in got]
+    assert len(set(parts)) >= 12 and max(map(parts.count, set(parts))) <= 100

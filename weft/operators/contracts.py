@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as X
 from weft.operators.rules import diagnostic
+from weft.session import tasks_for
 
 #: Type of a schema setting and the control that edits it; any other type is edited as text.
 SETTING_CONTROLS = (
@@ -189,9 +190,14 @@ def default_problems(props: DataFrame) -> DataFrame:
 
 
 def slot_problems(slots: DataFrame, components: DataFrame) -> DataFrame:
-    """Blocks that a slot (path, name) allows and that are no component (name, kind), or one of another kind than block."""
-    named = slots.select("path", "name").distinct().join(components.groupBy("name").agg(F.max(F.col("kind") == "block").alias("block")), "name", "left")
-    return diagnostic(named.where("block is null"), "SLOT_BLOCK_UNKNOWN").unionByName(diagnostic(named.where("not block"), "SLOT_NOT_A_BLOCK"))
+    """Blocks that a slot (path, name) allows and that are no component (name, kind), or one of another kind than block.
+
+    Slots are dealt by the name once and pass by a hash table of the components unsorted; only faults are made distinct.
+    """
+    n = tasks_for(slots, components)
+    known = components.select("name", (F.col("kind") == "block").alias("block")).repartition(n, "name").groupBy("name").agg(F.max("block").alias("block"))
+    named = slots.select("path", "name").repartition(n, "name").join(known.hint("shuffle_hash"), "name", "left").where("block is null or not block")
+    return named.select("path", F.when(F.col("block").isNull(), "SLOT_BLOCK_UNKNOWN").otherwise("SLOT_NOT_A_BLOCK").alias("code"), "name").distinct()
 
 
 def region_references(regions: DataFrame, bindings: list[str]) -> DataFrame:
