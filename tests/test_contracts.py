@@ -1,5 +1,7 @@
 """Checks of components on small cases: schemas, controls, bindings, edits, calls, slots, defaults."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,32 @@ def test_slots_are_dealt_by_rows(spark, monkeypatch):
     assert sorted(map(repr, ((r.path, r.code, r.name) for r in got))) == sorted(map(repr, want))
     parts = [r.part for r in got]
     assert len(set(parts)) >= 12 and max(map(parts.count, set(parts))) <= 100
+
+
+def test_hoisting_in_one_pass(spark, monkeypatch):
+    """Random sites against the definition, with nulls and repeats; rows are dealt once, by the stated number."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    pick = random.Random(4)
+    arguments = [(f"f{pick.randrange(40)}" if pick.random() > 0.02 else None, pick.choice(["1", "2", "3", None]), pick.choice([1, 2, 3, None]), pick.choice(["aCard", "a_card", "a", None]), pick.choice(["t", "card_t", "s", None]), pick.choice([0, 1, None])) for _ in range(1500)]
+    own_ids = [(f"f{pick.randrange(40)}", pick.choice(["a_t", "a_card_t", None])) for _ in range(30)] + [(None, "a_t")]
+    nulls_first = lambda *xs: tuple((x is not None, x if x is not None else 0) for x in xs)
+    want = []
+    for path in {a[0] for a in arguments} - {None}:
+        first, reused, named = {}, set(), {}
+        for _, site, at, alias, _, _ in (a for a in arguments if a[0] == path and a[3]):
+            first[alias] = min(first.get(alias, (nulls_first(at, site), site)), (nulls_first(at, site), site), key=lambda x: x[0])
+        for _, site, at, alias, argument, place in (a for a in arguments if a[0] == path and a[3]):
+            if site is None or first[alias][1] is None:
+                continue
+            if site != first[alias][1]:
+                reused.add((site, alias))
+            elif argument:
+                named.setdefault({"aCard": "a_card"}.get(alias, alias) + "_" + argument, set()).add((nulls_first(at, place, alias)))
+        want += [(path, "HOISTED_ALIAS_REUSED", site) for site, _ in reused]
+        for name, places in named.items():
+            want += [(path, "HOISTED_SETTING_COLLISION", name)] * (len(places) - ((path, name) not in own_ids))
+    unfilled = spark.createDataFrame(arguments, "path string, site string, at int, alias string, argument string, place int")
+    found = contracts.hoisting_conflicts(unfilled, spark.createDataFrame(own_ids, "path string, id string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted(want, key=repr) and {c for _, c, _ in want} == {"HOISTED_ALIAS_REUSED", "HOISTED_SETTING_COLLISION"}
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "hashpartitioning(path" in plan

@@ -136,14 +136,25 @@ def hoisting_conflicts(unfilled: DataFrame, own: DataFrame) -> DataFrame:
 
     Only the first site of an alias hoists; others are reported once each. Its settings are named after alias and argument; a
     name that the file or an earlier hoisted setting has is reported. Repeated rows count once.
+
+    Rows and own settings are dealt by path once; two ordered passes over a path find the first sites, and then what is
+    reported: repeats and what came before are told by the row before.
     """
-    first = unfilled.groupBy("path", "alias").agg(F.min(F.struct("at", "site")).alias("_f")).select("path", "alias", F.col("_f.site").alias("_site"))
-    rows = unfilled.join(first, ["path", "alias"])
-    reused = diagnostic(rows.where("site <> _site").select("path", "site", "alias").distinct(), "HOISTED_ALIAS_REUSED", "site")
-    named = rows.where("site = _site").select("path", "at", "place", "alias", F.concat(X.snake_case(F.col("alias")), F.lit("_"), F.col("argument")).alias("id")).distinct()
-    taken = named.groupBy("path", "id").agg(F.min(F.struct("at", "place", "alias")).alias("_first"))
-    judged = named.join(taken, ["path", "id"]).join(own.select("path", "id", F.lit(True).alias("_own")).distinct(), ["path", "id"], "left")
-    return reused.unionByName(diagnostic(judged.where(F.col("_own").isNotNull() | (F.struct("at", "place", "alias") != F.col("_first"))), "HOISTED_SETTING_COLLISION", "id"))
+    rows = unfilled.where("path is not null and alias is not null")
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    both = rows.select("path", "alias", "at", "site", "place", "argument", F.lit(None).cast(own.schema["id"].dataType).alias("_own"), F.lit(True).alias("_row"))
+    both = both.unionByName(own.where("path is not null and id is not null").select("path", *map(none, ("alias", "at", "site", "place", "argument")), F.col("id").alias("_own"), F.lit(False).alias("_row")))
+    by_site = Window.partitionBy("path", "alias").orderBy("at", "site").rowsBetween(Window.unboundedPreceding, 0)
+    first = both.repartition(tasks_for(unfilled, own), "path").withColumn("_site", F.first("site").over(by_site))
+    reused = F.col("_row") & (F.col("site") != F.col("_site"))
+    named = F.concat(X.snake_case(F.col("alias")), F.lit("_"), F.col("argument"))
+    first = first.where("not _row or site <> _site or site = _site").select("path", "alias", "_row", F.coalesce(reused, F.lit(False)).alias("_reused"), "at", "place", F.when(reused, F.col("site")).otherwise(F.coalesce("_own", named)).alias("name"))
+    # own settings come first, then named ones by place; of a site that is reused only the alias counts
+    place = F.struct("_row", *[F.when(~F.col("_reused"), F.col(c)).alias(c) for c in ("at", "place")], "alias")
+    judged = first.where("name is not null").select("path", "name", "_row", "_reused", place.alias("_place"))
+    before = F.lag("_place").over(Window.partitionBy("path", "_reused", "name").orderBy("_place"))
+    judged = judged.withColumn("_before", before).where(F.col("_row") & ~F.col("_before").eqNullSafe(F.col("_place")) & (F.col("_reused") | F.col("_before").isNotNull()))
+    return judged.select("path", F.when(F.col("_reused"), "HOISTED_ALIAS_REUSED").otherwise("HOISTED_SETTING_COLLISION").alias("code"), "name")
 
 
 def with_headers(settings: DataFrame, header: str = "alias") -> DataFrame:
