@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from math import comb
 
 import numpy as np
 
@@ -114,3 +115,25 @@ def test_rows_do_not_depend_on_the_order_of_shingles(spark, monkeypatch):
     for common in (some[:0], some):
         monkeypatch.setattr(S, "_common_shingles", lambda *_, c=common: (c, np.arange(len(c))[::-1].copy()))
         assert left(spark, texts, distance=3) == want
+
+
+def test_fingerprint_round_deals_a_bounded_number_of_rows(spark, monkeypatch):
+    """With the weight that pairs have among very many points, the plan keeps to the bound; what it does not link, the shingles find."""
+    rng = random.Random(14)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(20_000)]
+    points = spark.createDataFrame([(x,) for x in fps], "fp long")
+    monkeypatch.setattr(S, "PAIR_US", 5.0)
+    assert sum(comb(len(bits), k) for bits, t in S.plan(points, 10) for k in range(t + 1)) > 100
+    for block_rows in (2048, 8):
+        dealt = 0
+        for bits, t in S.plan(points, 10, most=16, block_rows=block_rows):
+            assert t == 0
+            _, c = np.unique(np.array(fps) & S._mask(bits), return_counts=True)
+            dealt += (c * -(-c // block_rows)).sum()
+        assert dealt <= 16 * len(fps)
+    monkeypatch.setattr(S, "ROWS_A_POINT", 1)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 10_000)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join(changed(rng, words, rng.choice((1, 3, 4, 6))))]
+    assert left(spark, texts) == brute_left(texts)

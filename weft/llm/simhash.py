@@ -129,8 +129,13 @@ def _mask(bits) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition: the cheapest of all numbers of partitions in ``choices``."""
+def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6), most: int | None = None, block_rows: int = 2048) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition: the cheapest of all numbers of partitions in ``choices``.
+
+    With ``most``, ``links`` deals no more than so many rows a point, copies for blocks of ``block_rows`` included: where no
+    plan for ``distance`` keeps to that, it is the plan for the largest distance that does. More points have more pairs, and
+    the cheapest plan evades pairs by ever more signatures; so without the bound, rows grow faster than points.
+    """
     both, n = bit_statistics(points)
     grouped = {m: group_bits(both, n, m) for m in choices}
     values = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("sig")) for m, groups in grouped.items() for i, bits in enumerate(groups)]
@@ -139,9 +144,8 @@ def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tupl
     share = np.diag(both) / max(n, 1)
     differ = 2 * share * (1 - share)
     odds = differ / np.maximum(1 - differ, 1e-9)  # of two points: this bit differs, against not
-    plans = []
+    costs, rows = {m: [] for m in choices}, {}
     for m, groups in grouped.items():
-        costs = []
         for i, bits in enumerate(groups):
             near, of = pairs.get((m, i), 0.0), {-1: 0.0}
             symmetric = [1.0] + [0.0] * len(bits)  # elementary symmetric sums: odds of k differing bits
@@ -153,11 +157,18 @@ def plan(points: DataFrame, distance: int, choices=(2, 3, 4, 5, 6)) -> list[tupl
                 # two points at distance t here meet at their own values and at others between
                 candidates = near * sum(symmetric[: t + 1]) * (1 if t == 0 else 2)
                 of[t] = SIGNATURE_US * signatures + PAIR_US * candidates
-            costs.append(of)
-        if distance - m + 1 >= -m:
-            cost, thresholds = allocate(costs, distance - m + 1)
-            plans.append((cost, [(bits, t) for bits, t in zip(groups, thresholds) if t >= 0]))
-    return min(plans, key=lambda p: p[0])[1]
+                rows[m, i, t] = signatures + 2 * candidates / block_rows
+            costs[m].append(of)
+    for d in range(distance, -1, -1):
+        plans = []
+        for m, groups in grouped.items():
+            cost, thresholds = allocate(costs[m], d - m + 1)
+            chosen = [(i, t) for i, t in enumerate(thresholds) if t >= 0]
+            plans.append((cost, sum(rows[m, i, t] for i, t in chosen), [(groups[i], t) for i, t in chosen]))
+        fit = [p for p in plans if most is None or p[1] <= most * max(n, 1)]
+        if fit:
+            return min(fit, key=lambda p: p[0])[2]
+    return min(plans, key=lambda p: p[1])[2]
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -473,9 +484,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay, with their columns: of each group of near copies, that with the smallest identifier.
 
     Two texts are linked if the Jaccard similarity of their ``verify_width``-word shingles, computed on the whole texts, is
-    ``similarity`` or more; linked texts form a group, and so do rows of equal texts. The first round verifies the links of
-    fingerprints of these shingles within ``distance`` bits (a forest, as ``links`` gives it), which joins most copies. Near
-    texts can lie further apart in bits, so the second round finds every other pair (but for collisions of 64-bit hashes):
+    ``similarity`` or more; linked texts form a group, and so do rows of equal texts. The first round verifies links of
+    fingerprints of these shingles within ``distance`` bits (a forest, as ``links`` gives it), which joins most copies; it
+    deals ``ROWS_A_POINT`` rows a text at most. It need not find all, and near texts can lie further apart in bits, so the second round finds every other pair (but for collisions of 64-bit hashes):
     similar texts share one of the first shingles of each in an order of all shingles, rare ones first, and their parity
     sketches differ in no more bits than similar sets can in elements. Each text's nearest pair is verified first, in
     ``forest_rounds`` rounds, and then every pair whose ends are still apart, so the result depends neither on ``distance``
@@ -495,6 +506,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return kept.join(sized(gone, broadcast_rows), same, "left_anti").select("_row.*")
 
 
+#: Rows a text that the round of fingerprints deals at most: what it does not link, the shingles' round finds.
+ROWS_A_POINT = 16
+
+
 def _dropped_copies(marked: DataFrame, verify_width: int, similarity: float, distance: int, block_rows: int, broadcast_rows: int, forest_rounds: int) -> DataFrame:
     """(_gone, _gone_id): texts and identifiers of the rows of ``marked`` (_id, _own, _text) that do not stay."""
     spark = marked.sparkSession
@@ -562,7 +577,7 @@ def _dropped_copies(marked: DataFrame, verify_width: int, similarity: float, dis
             return materialize(connected_components(edges), "roots", outlives=True)
 
     prints = points.select("key", "fp")
-    near = links(prints, distance, plan(prints, distance))
+    near = links(prints, distance, plan(prints, distance, most=ROWS_A_POINT))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = verified(possible_pairs(materialize(near, "candidates")))
     joined = components(linked)
